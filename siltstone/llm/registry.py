@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import huffman, mixing, simhash, urlfilter
 
 QUERIES = {
+    "op1_token_output": huffman.query,
+    "op4_url_filter": urlfilter.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op9_mix_sources": mixing.query,
 }
+ORACLE = {"op4_url_filter": urlfilter.SQL}
 
 
 def queries() -> dict:
@@ -14,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
