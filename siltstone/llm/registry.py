@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import huffman, mixing, simhash, urlfilter
+from . import decontaminate, huffman, mixing, simhash, urlfilter
 
 QUERIES = {
     "op1_token_output": huffman.query,
     "op4_url_filter": urlfilter.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op7_decontaminate": decontaminate.query,
     "op9_mix_sources": mixing.query,
 }
 ORACLE = {"op4_url_filter": urlfilter.SQL}
