@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, huffman, mixing, simhash, urlfilter
+from . import decontaminate, huffman, mixing, quality, simhash, urlfilter
 
 QUERIES = {
     "op1_token_output": huffman.query,
     "op4_url_filter": urlfilter.query,
+    "op5_quality": quality.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_decontaminate": decontaminate.query,
     "op9_mix_sources": mixing.query,
