@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from .common import bytes_of, one_batch, removed, table, task_partition, tune, w
 END_ID = 1
 STRIDE, BLOCK_TOKENS = 128, 1 << 18
 MAGIC = b"HUFB\x01"
-#: Distinct words whose ids a worker remembers.
-CACHE = 150_000
+#: Distinct words, and runs of letters, whose ids a worker remembers in a generation.
+CACHE = 120_000
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -125,13 +125,34 @@ def decode_block(block: bytes, look: tuple[np.ndarray, np.ndarray, int]) -> tupl
     return [int(d) if k else None for d, k in zip(names, known)], sizes, out.reshape(-1)[:n]
 
 
+class Memo(dict):
+    """What a function gave for its last arguments: two generations of CACHE at most; long arguments aren't kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > 64:
+                return got
+        if len(self) >= CACHE:
+            self.before = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class WordEncoder:
     """Encodes whole texts just as ``Tokenizer.encode(text, add_special_tokens=False)``, a white-space-delimited word at a time.
 
     Words of printable ASCII and Latin-1 go straight to the library's BPE model,
     as the normaliser does no more to them than lower-casing; all others, and what
     may hold a special token, go through the whole tokenizer. A tokenizer of
-    another kind encodes whole texts only.
+    another kind encodes whole texts only. Words and letter runs are remembered in
+    two generations of bounded size.
     """
 
     def __init__(self, path: str):
@@ -141,6 +162,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.width = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         config = json.load(open(path, encoding="utf-8"))
         kinds = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
         split = [x for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -152,45 +174,27 @@ class WordEncoder:
             hidden = [b for b in range(256) if b not in shown]
             self.shown = dict(zip(shown, map(chr, shown))) | {b: chr(256 + k) for k, b in enumerate(hidden)}
             self.tokenize = self.whole.model.tokenize
-            self.known: dict[bytes, bytes] = {}
-            self.piece: dict[str, list[int]] = {}
+            self.code = "H" if self.width == "<u2" else "I"
+            self.known = Memo(self.word)
+            self.run = Memo(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) <= "ÿ":  # one run of letters
+            return self.run[text.lower()]
         if self.plain(text):
-            ids = []
-            for p in self.pieces(text.lower()):
-                got = self.piece.get(p)
-                if got is None:
-                    got = self.piece[p] = [t.id for t in self.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.shown))]
-                ids += got
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+            return b"".join(map(self.run.__getitem__, self.pieces(text.lower())))
+        return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned integers of ``width``."""
         if not self.by_word:
-            return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known = self.known
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        if len(self.piece) > CACHE:
-            self.piece.clear()
-        out = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = self.word(w)
-                if len(w) <= 64:
-                    known[w] = got
-            out.append(got)
-        return b"".join(out)
+            return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.width).tobytes()
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -203,12 +207,18 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def id_type(path: str) -> str:
+    """Two bytes an id between the stages, if the vocabulary fits; what is written is Huffman codes."""
+    return encoder(path).width
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, row, ids): ids of the whole text and the end id as little-endian unsigned 32-bit integers; row tells repeated ids apart."""
+    """(doc_id, row, ids): ids of the whole text and the end id, as little-endian unsigned integers of id_type(); row tells repeated ids apart."""
     out = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        encode, end, row = encoder(path).encode, struct.pack("<I", end_id), task_partition() << 40
+        coder, row = encoder(path), task_partition() << 40
+        encode, end = coder.encode, np.array([end_id], dtype=coder.width).tobytes()
         for b in batches:
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.arange(row, row + n)), pa.array([encode(t.as_py()) + end for t in b.column(1)], pa.binary())], schema=out)
@@ -217,18 +227,18 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of().alias("text")).mapInArrow(run, "doc_id long, row long, ids binary")
 
 
-def id_counts(rows: DataFrame) -> np.ndarray:
+def id_counts(rows: DataFrame, width: str) -> np.ndarray:
     """How often each id occurs in all documents; as many rows as the vocabulary has."""
     out = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for t in b.column(0):
-                got = np.bincount(np.frombuffer(t.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+            if not b.num_rows:
+                continue
+            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), width), minlength=len(total))
+            got[: len(total)] += total
+            total = got
         used = np.flatnonzero(total)
         yield one_batch(out, id=used, n=total[used])
 
@@ -244,7 +254,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tag: str = "t
     spark = docs.sparkSession
     tune(spark)
     rows = written(encoded(docs, path, end_id), f"{tag}-ids")
-    counts = id_counts(rows)
+    width = id_type(path)
+    counts = id_counts(rows, width)
     lengths = code_lengths(counts, max(16, int(np.count_nonzero(counts)).bit_length() + 1))
     written(spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int").coalesce(1), f"{tag}-codes")
     sent = spark.sparkContext.broadcast(lengths)  # a byte for each id of the vocabulary
@@ -261,7 +272,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tag: str = "t
 
         for b in batches:
             for d, t in zip(b.column(0), b.column(1)):
-                got = np.frombuffer(t.as_buffer(), "<u4")
+                got = np.frombuffer(t.as_buffer(), width)
                 if held and held + len(got) > BLOCK_TOKENS:
                     yield put()
                     names, ids, held, first, block = [], [], 0, first + held, block + 1
