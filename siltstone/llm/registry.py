@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, huffman, mixing, quality, simhash, urlfilter
+from . import decontaminate, huffman, mixing, quality, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_token_output": huffman.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_toxicity": toxicity.query,
     "op9_mix_sources": mixing.query,
 }
 ORACLE = {"op4_url_filter": urlfilter.SQL}
