@@ -27,7 +27,9 @@ END_ID = 1
 STRIDE, BLOCK_TOKENS = 128, 1 << 18
 MAGIC = b"HUFB\x01"
 #: Distinct words, and runs of letters, whose ids a worker remembers in a generation.
-CACHE = 120_000
+CACHE = 300_000
+#: Marks that often follow a word, and aren't letters, digits or white space.
+MARKS = b".,;:!?*&%$#"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -126,11 +128,11 @@ def decode_block(block: bytes, look: tuple[np.ndarray, np.ndarray, int]) -> tupl
 
 
 class Memo(dict):
-    """What a function gave for its last arguments: two generations of CACHE at most; long arguments aren't kept."""
+    """What a function gave for its last arguments: two generations of ``most`` each; long arguments aren't kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, most):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, key):
         got = self.before.get(key)
@@ -138,7 +140,7 @@ class Memo(dict):
             got = self.make(key)
             if len(key) > 64:
                 return got
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
         self[key] = got
@@ -175,19 +177,32 @@ class WordEncoder:
             self.shown = dict(zip(shown, map(chr, shown))) | {b: chr(256 + k) for k, b in enumerate(hidden)}
             self.tokenize = self.whole.model.tokenize
             self.code = "H" if self.width == "<u2" else "I"
-            self.known = Memo(self.word)
-            self.run = Memo(self.piece)
+            self.known = Memo(self.word, CACHE)
+            self.run = Memo(self.letters, CACHE)
+            self.rest = Memo(self.piece, CACHE // 16)
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
         return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
+    def letters(self, run: bytes) -> bytes:
+        """A run of lower-case letters: one piece, whose ids are remembered by its bytes."""
+        if run.isascii():
+            return array(self.code, [t.id for t in self.tokenize(run.decode())]).tobytes()
+        return self.piece(run.decode())
+
     def word(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        if core.isalpha():  # ASCII letters, then marks that are one piece
+            ids = self.run[core.lower()]
+            return ids + self.rest[word[len(core) :].decode()] if len(core) < len(word) else ids
+        text = core.decode("utf-8", "replace")
+        if text.isalpha() and max(text) <= "ÿ":
+            ids = self.run[text.lower().encode()]
+            return ids + self.rest[word[len(core) :].decode()] if len(core) < len(word) else ids
         text = word.decode("utf-8", "replace")
-        if text.isalpha() and max(text) <= "ÿ":  # one run of letters
-            return self.run[text.lower()]
         if self.plain(text):
-            return b"".join(map(self.run.__getitem__, self.pieces(text.lower())))
+            return b"".join(map(self.rest.__getitem__, self.pieces(text.lower())))
         return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
