@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, huffman, mainhtml, mixing, quality, simhash, toxicity, urlfilter
+from . import decontaminate, huffman, mainhtml, maxent, mixing, quality, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_token_output": huffman.query,
+    "op2_maxent_score": maxent.query,
     "op3_html_text": mainhtml.query,
     "op4_url_filter": urlfilter.query,
     "op5_quality": quality.query,
