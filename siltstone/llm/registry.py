@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, huffman, mainhtml, maxent, mixing, quality, simhash, toxicity, urlfilter
+import corpus_pipeline
+
+from . import decontaminate, huffman, mainhtml, maxent, mixing, quality, simhash, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_token_output": huffman.query,
@@ -14,8 +16,10 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_mix_sources": mixing.query,
+    "op10_topk_codes": topk.query,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op4_url_filter": urlfilter.SQL}
+ORACLE = {"op4_url_filter": urlfilter.SQL, "op10_topk_codes": topk.SQL}
 
 
 def queries() -> dict:
