@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of, crc_of_id, one_batch, removed, table, task_partition, tune, words, written
 
 FOLDS, HELD_OUT = 7, 2
-HEADS, SLOTS, TAILS, KNOWN = 24, 32, 16, 1 << 16
+HEADS, SLOTS, TAILS, KNOWN = 16, 32, 16, 1 << 16
 #: Rows of each hashed table, features of a history, AdaGrad's step, tokens of a numpy batch.
 ROWS, FEATURES, STEP, BATCH = 1 << 14, 3, 1.0, 1 << 12
 END = b"\n"  # cannot be part of a word
@@ -106,7 +106,7 @@ class Layer:
 
     def log_likelihood(self, rows: np.ndarray, which: np.ndarray, target: np.ndarray) -> np.ndarray:
         s, e = self.exponentials(rows, which)
-        return s[np.arange(len(s)), target].astype(np.float64) - np.log(e.sum(axis=1, dtype=np.float64))
+        return s[np.arange(len(s)), target].astype(np.float64) - np.log((e @ np.ones(self.width, dtype=np.float32)).astype(np.float64))
 
     def update(self, rows: np.ndarray, which: np.ndarray, target: np.ndarray) -> None:
         """One AdaGrad step of the batch's summed gradient."""
@@ -237,12 +237,20 @@ def counted(training: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """KNOWN words and a few sums come to the driver, however large the corpus."""
+    """At most KNOWN words and a few sums come to the driver, however large the corpus."""
     last = F.conv(F.substring(F.hex("word"), -2, 2), 16, 10).cast("int")
     tails = np.zeros((2, TAILS), dtype=np.int64)
     for r in counts.groupBy((last % TAILS).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tails[:, r.k] += r.n, r.v
-    ranked = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    # The largest set of whole steps of the count that has KNOWN words at most: no task sends more than its share of them.
+    step = F.floor(F.log2("n") * 64).cast("int")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if held + r["count"] > KNOWN:
+            least = r.step + 1
+            break
+        held += r["count"]
+    ranked = sorted(((bytes(r.word), r.n) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
     return Vocabulary(ranked, int(tails[0].sum()), int(tails[1].sum()), tails)
 
 
