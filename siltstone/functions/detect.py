@@ -91,13 +91,12 @@ def zip_subtype(data: bytes | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def _zip_types(data: pd.Series) -> pd.Series:
-    return data.map(zip_subtype, na_action="ignore").astype(object)
-
-
 def by_zip(data: Column) -> Column:
-    return _zip_types(F.when(at(data, 0, ZIP_HEAD), data))
+    @F.pandas_udf("string")
+    def types(data: pd.Series) -> pd.Series:
+        return data.map(zip_subtype, na_action="ignore").astype(object)
+
+    return types(F.when(at(data, 0, ZIP_HEAD), data))
 
 
 def css_signs(text: Column) -> Column:

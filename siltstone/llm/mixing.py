@@ -145,7 +145,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
     """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
     how_often = copies(docs, weights, most, seed).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("copies").alias("most"))
     how_often = written(how_often.where("copies > 0"), "copies")
-    out = docs.join(how_often, docs.doc_id.eqNullSafe(how_often.doc_id)).drop(how_often.doc_id)
+    # Without the hint a small input would be joined by broadcast and a large one not; so the plan is alike at every size, and texts aren't sorted.
+    out = docs.join(how_often.hint("shuffle_hash"), docs.doc_id.eqNullSafe(how_often.doc_id)).drop(how_often.doc_id)
     if how_often.where("rows > 1").limit(1).count():  # rows that repeat an id share what it is taken, as evenly as can be
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text"))
         out = out.withColumn("_place", place).withColumn("copies", F.floor(F.col("copies") / F.col("rows")) + (F.col("_place") <= F.col("copies") % F.col("rows")).cast("long")).drop("_place")

@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, blo
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that near_duplicates() leaves: of each component the one with the smallest id, the first row of it if an id repeats."""
     kept = near_duplicates(docs).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    rows = docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
     twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return rows.dropDuplicates(["doc_id"]) if twice else rows
 

@@ -1,11 +1,15 @@
-"""Registered queries of the detection and extraction engine."""
+"""Registered queries of the detection and extraction engine, and their SQL."""
 
 from __future__ import annotations
 
+from . import detection_queries
+
+MODULES = (detection_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
