@@ -57,7 +57,7 @@ def detect_extension(spark, sf):
     names = sorted(EXTENSIONS)
     ext = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
     docs = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/v1.0/f"), F.col("doc_id").cast("string"), F.lit("."), F.when(F.col("doc_id") % 2 == 0, F.upper(ext)).otherwise(ext)).alias("path"))
-    return docs.select("doc_id", "path", d.by_extension(F.col("path"))["mime_type"].alias("mime_type"))
+    return docs.select("doc_id", "path", d.by_extension(F.col("path")).alias("mime_type"))
 
 
 def detect_with_hint(spark, sf):
