@@ -16,7 +16,9 @@ is judged by summing its own subsequences, in numpy batches.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -39,6 +41,7 @@ LONG, OVERLAP = 48, 16
 _STEPS = [(a, b) for a in range(1, GAP + 2) for b in range(1, GAP + 2)]
 _SPACED = re.compile(rb"(?<!\S)\S(?:[ \t]+\S(?!\S)){3,}")
 _EDGE = ".,;:!?\"'()[]{}<>*&%$#|-_"
+_DROP = {ord(c): None for c in _EDGE}
 SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n+")
 
 
@@ -51,10 +54,11 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def strings(word: bytes) -> list[str]:
-    """A word without punctuation at its ends, marked, in pieces of at most LONG characters."""
+    """A word without punctuation at its ends, marked, in pieces of at most LONG characters; one with punctuation inside also without it."""
     w = word.decode("utf-8", "replace").lower().strip(_EDGE)
     if len(w) <= LONG:
-        return [f"^{w}$"] if w else []
+        bare = w.translate(_DROP)
+        return [f"^{x}$" for x in dict.fromkeys((w, bare)) if x]
     return [f"^{w[i : i + LONG]}$" for i in range(0, len(w) - OVERLAP, LONG - OVERLAP)]
 
 
@@ -88,15 +92,22 @@ def _norms(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(row, weights=total, minlength=len(h))) + 1e-9
 
 
-def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """The normalised kernel of all pairs, for a bounded number of ``right`` strings."""
+def kernel(left: list[str], right: list[str], step: int = 1024) -> np.ndarray:
+    """The normalised kernel of all pairs, for a bounded number of ``right`` strings: matrix products over the subsequences that these have."""
+    h, w = subsequences(right)
+    w = w / _norms(h, w)[:, None]
+    used, column = np.unique(h, return_inverse=True)
+    place = np.full(TABLE, len(used), dtype=np.int64)
+    place[used] = np.arange(len(used))
+    wide = len(used) + 1  # the last column takes what no right string has
+    other = np.bincount((np.arange(len(right))[:, None] * wide + column.reshape(h.shape)).ravel(), weights=w.ravel(), minlength=len(right) * wide).reshape(len(right), wide).astype(np.float32)
+    other[:, -1] = 0
     out = np.zeros((len(left), len(right)))
-    hl, wl = subsequences(left)
-    hl, wl = hl, wl / _norms(hl, wl)[:, None]
-    for j, s in enumerate(right):
-        h, w = subsequences([s])
-        dense = np.bincount(h[0], weights=w[0] / _norms(h, w)[0], minlength=TABLE)
-        out[:, j] = (dense[hl] * wl).sum(axis=1)
+    for k in range(0, len(left), step):
+        h, w = subsequences(left[k : k + step])
+        w = w / _norms(h, w)[:, None]
+        own = np.bincount((np.arange(len(h))[:, None] * wide + place[h]).ravel(), weights=w.ravel(), minlength=len(h) * wide).reshape(len(h), wide).astype(np.float32)
+        out[k : k + step] = own @ other.T
     return out
 
 
@@ -165,16 +176,40 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4,
     return w[:-1], float(w[-1])
 
 
-def _suspects(bad: Counter, fine: Counter) -> dict[str, int]:
-    """Words that stand mostly in sentences of toxic documents, by themselves or by a beginning that they share; with the number of such documents."""
+def _sure(a: int, b: int, rate: float, chances: int) -> bool:
+    """Whether ``a`` toxic documents of ``a + b`` are more than chance gives anywhere among so many words: Chernoff's bound at the rate of toxic documents."""
+    n = a + b
+    share = a / n
+    if share < max(LEAN, rate):
+        return False
+    gain = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if b else 0.0)
+    return n * gain >= math.log(chances) + 2
+
+
+def _suspects(bad: Counter, fine: Counter, rate: float) -> dict[str, int]:
+    """Words that stand mostly in toxic documents, by themselves or by a beginning that they share; with the number of such documents."""
     stems: tuple[Counter, Counter] = (Counter(), Counter())
     for found, stem in zip((fine, bad), stems):
         for w, n in found.items():
             for k in range(4, min(len(w), 9)):
                 stem[w[:k]] += n
-    sure = lambda a, b, least: a >= least and a >= LEAN * (a + b)
-    good = {s for s, n in stems[1].items() if sure(n, stems[0][s], 8)}
-    return {w: n for w, n in bad.items() if sure(n, fine[w], 3) or (n > fine[w] and any(w[:k] in good for k in range(4, min(len(w), 9))))}
+    words = len(set(bad) | set(fine))
+    good = {s for s, n in stems[1].items() if _sure(n, stems[0][s], rate, len(stems[1]))}
+    out = {w: n for w, n in bad.items() if _sure(n, fine[w], rate, words) or (n > fine[w] and any(w[:k] in good for k in range(4, min(len(w), 9))))}
+    return out or {w: bad[w] for w in sorted(bad, key=lambda w: (fine[w] - bad[w], w))[:10]}
+
+
+def distinct(texts: list[bytes]) -> list[bool]:
+    """Whether each text is the first of its near copies: those that share four least hashes of their words in one of four bands."""
+    seen: set[tuple] = set()
+    out = []
+    for text in texts:
+        h = np.array([zlib.crc32(w) for w in set(text.lower().split())] or [0], dtype=np.uint64)
+        least = [int(((h * np.uint64(2 * k + 0x9E3779B1)) >> np.uint64(7) & np.uint64(0xFFFFFFFF) ^ np.uint64(k * 0x5BD1E995 & 0xFFFFFFFF)).min()) for k in range(16)]
+        keys = [(k, *least[4 * k : 4 * k + 4]) for k in range(4)]
+        out.append(not any(k in seen for k in keys))
+        seen.update(keys)
+    return out
 
 
 def learn(rows: list[tuple[bytes, int]], seed: int = SEED) -> Machine:
@@ -188,7 +223,10 @@ def learn(rows: list[tuple[bytes, int]], seed: int = SEED) -> Machine:
     sentences = []  # (document, marked words) of each sentence
     found: tuple[Counter, Counter] = (Counter(), Counter())
     cut: dict[bytes, list[str]] = {}
+    first = distinct([text for text, _ in rows])
     for d, (text, y) in enumerate(rows):
+        if not first[d]:
+            continue
         own = set()
         for s in SENTENCE.split(text):
             ws = list(dict.fromkeys(p for w in tokens(s) for p in (cut.get(w) or cut.setdefault(w, strings(w)))))
@@ -197,8 +235,9 @@ def learn(rows: list[tuple[bytes, int]], seed: int = SEED) -> Machine:
                 own.update(ws)
         found[y].update(own)
     fine, toxic = found
+    rate = max(1, sum(f and y for f, y in zip(first, labels))) / max(2, sum(first) + 1)
     n0, n1 = (labels == 0).sum(), (labels == 1).sum()
-    bad = _suspects(toxic, fine) or dict(toxic.most_common(1))
+    bad = _suspects(toxic, fine, rate)
     every = sorted(set(fine) | set(toxic))
     others = [w for w, _ in fine.most_common(WORDS // 2) if w not in bad]
     rest = sorted(set(fine) - set(others) - set(bad))
@@ -223,8 +262,8 @@ def learn(rows: list[tuple[bytes, int]], seed: int = SEED) -> Machine:
         score = dict(zip(every, m.words(every)))
         chosen = [(labels[d], max(ws, key=score.__getitem__)) for d, ws in sentences]
         worst = Counter(w for y, w in chosen if y == 0)
-        again = Counter(w for y, w in chosen if y == 1 and score[w] > 0)
-        bad |= {w: n for w, n in again.items() if n > 4 and n >= LEAN * (n + fine[w])}
+        again = {w for y, w in chosen if y == 1 and score[w] > 0}
+        bad |= {w: toxic[w] for w in again if toxic[w] and _sure(toxic[w], fine[w], rate, len(every))}
         hard = [w for w in worst if score[w] > -0.5 and w not in bad]
         others = list(dict.fromkeys(sorted(hard, key=lambda w: (-score[w], w)) + others))[:WORDS]
     judged = m.judge([t for t, _ in rows])
