@@ -36,8 +36,9 @@ EDGE = b".,;:!?\"'()[]{}<>*&%$#|-_"
 
 
 def terms(text: bytes) -> list[bytes]:
-    """Lower-cased words without punctuation at their ends."""
-    return [w.strip(EDGE) for w in text.lower().split()]
+    """Lower-cased words without punctuation at their ends. Letters beyond A-Z are lower-cased too, as whole texts in capitals hold items as well."""
+    text = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return [w.strip(EDGE) for w in text.split()]
 
 
 def answer_start(text: bytes) -> int:
