@@ -170,7 +170,7 @@ def id3(title, artist, genre, year, track) -> bytes:
 def pdf(lines, title, packed=True, version="1.5") -> bytes:
     """One page that shows each line, with a cross-reference table."""
     said = lambda t: t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
-    content = ("BT /F1 12 Tf 72 720 Td " + " ".join(f"({said(t)}) '" for t in lines) + " ET").encode("latin-1", "replace")
+    content = " ".join(f"BT /F1 12 Tf 72 {720 - 20 * k} Td ({said(t)}) Tj ET" for k, t in enumerate(lines)).encode("latin-1", "replace")
     stream, how = (zlib.compress(content), b" /Filter /FlateDecode") if packed else (content, b"")
     objects = [
         b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
