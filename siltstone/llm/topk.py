@@ -32,6 +32,8 @@ from .common import one_batch, table, tune, written
 K, BITS, EVERY = 10, 64, 20
 #: Codes of a shard and queries of a block at most; shards that a small table is dealt into.
 SHARD, QUERIES, SPREAD = 1 << 17, 1 << 14, 16
+#: Tasks that the pairs are dealt to at most; more pairs are done in turn.
+TASKS = 20_000
 
 
 def codes(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -174,6 +176,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD,
             out.append((np.full(len(got[0]), query), *got))
         return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "neighbor_id", "distance"))})
 
+    # So many partitions as there are pairs: left to itself, a small input would be merged into one task, though its work isn't small.
+    tasks = min(shards * blocks, TASKS)
+    left, right = left.repartition(tasks, "shard", "block"), right.repartition(tasks, "shard", "block")
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(find, "query_id long, neighbor_id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbor_id", "distance", F.col("rank").cast("long").alias("rank"))
