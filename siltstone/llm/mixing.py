@@ -4,8 +4,9 @@ A source's target is its share of all sizes; it is filled with whole repetitions
 of the source and a rest. The rest is fitted by counting documents by exact
 length: an equal share of every length first, then longest lengths first, then a
 bounded-knapsack dynamic programme (binary splitting over a bit set) over what is
-left, which is less than a bounded number of words. The fit works on counts by
-length alone. Which documents of a length are taken is decided by a seeded hash
+left, which is less than a bounded number of words. Where a source's documents,
+each once, give no exact sum, each may be taken as often as is allowed. The fit
+works on counts by length alone. Which documents of a length are taken is decided by a seeded hash
 of the id: buckets of the hash below the count first, and within the one bucket
 that is cut, by rank.
 """
@@ -109,8 +110,13 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: in
         size, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
         whole = min(most, int(target // size)) if size else 0
         rest = 0 if whole == most else max(0, round(target) - whole * size)
-        taken = fit(dict(zip(pdf["size"], pdf["n"])), rest)
-        return pd.DataFrame({"source": pdf.source, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "n": pdf["n"], "whole": whole, "more": [taken.get(s, 0) for s in pdf["size"]]})
+        counts = dict(zip(pdf["size"], pdf["n"]))
+        taken = fit(counts, rest)
+        if sum(s * k for s, k in taken.items()) < rest:  # few documents: some of them once more may come nearer
+            again = fit({s: n * (most - whole) for s, n in counts.items()}, rest)
+            taken = max(taken, again, key=lambda t: sum(s * k for s, k in t.items()))
+        more = [taken.get(s, 0) for s in pdf["size"]]
+        return pd.DataFrame({"source": pdf.source, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "n": pdf["n"], "whole": [whole + m // n for m, n in zip(more, pdf["n"])], "more": [m % n for m, n in zip(more, pdf["n"])]})
 
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     plan = written(lengths.join(goals, lengths.source.eqNullSafe(goals.source)).drop(goals.source).groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, n long, whole long, more long"), "mix")
