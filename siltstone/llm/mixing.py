@@ -110,13 +110,16 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: in
         size, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
         whole = min(most, int(target // size)) if size else 0
         rest = 0 if whole == most else max(0, round(target) - whole * size)
-        counts = dict(zip(pdf["size"], pdf["n"]))
-        taken = fit(counts, rest)
-        if sum(s * k for s, k in taken.items()) < rest:  # few documents: some of them once more may come nearer
-            again = fit({s: n * (most - whole) for s, n in counts.items()}, rest)
-            taken = max(taken, again, key=lambda t: sum(s * k for s, k in t.items()))
-        more = [taken.get(s, 0) for s in pdf["size"]]
-        return pd.DataFrame({"source": pdf.source, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "n": pdf["n"], "whole": [whole + m // n for m, n in zip(more, pdf["n"])], "more": [m % n for m, n in zip(more, pdf["n"])]})
+        counts = {int(s): int(n) for s, n in zip(pdf["size"], pdf["n"])}
+        words_of = lambda taken: sum(s * k for s, k in taken.items())
+        # Every document the same number of times and a part of them once more; where that isn't exact, as often as is allowed.
+        best = {s: whole * n + k for (s, n), k in zip(counts.items(), map(fit(counts, rest).get, counts, [0] * len(counts)))}
+        for least in (whole, 0):
+            if size and words_of(best) < round(target):
+                more = fit({s: n * (most - least) for s, n in counts.items()}, round(target) - least * size)
+                best = max(best, {s: least * n + more.get(s, 0) for s, n in counts.items()}, key=words_of)
+        taken = [best[int(s)] for s in pdf["size"]]
+        return pd.DataFrame({"source": pdf.source, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "n": pdf["n"], "whole": [k // n for k, n in zip(taken, pdf["n"])], "more": [k % n for k, n in zip(taken, pdf["n"])]})
 
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     plan = written(lengths.join(goals, lengths.source.eqNullSafe(goals.source)).drop(goals.source).groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, n long, whole long, more long"), "mix")
@@ -149,14 +152,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
-    how_often = copies(docs, weights, most, seed).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("copies").alias("most"))
-    how_often = written(how_often.where("copies > 0"), "copies")
+    names = {"id": "__mix_id", "n": "__mix_copies", "rows": "__mix_rows", "place": "__mix_place"}  # no column of the input is called so
+    found = copies(docs, weights, most, seed).groupBy(F.col("doc_id").alias(names["id"])).agg(F.sum("copies").alias(names["n"]), F.count("*").alias(names["rows"]))
+    found = written(found.where(F.col(names["n"]) > 0), "copies")
     # Without the hint a small input would be joined by broadcast and a large one not; so the plan is alike at every size, and texts aren't sorted.
-    out = docs.join(how_often.hint("shuffle_hash"), docs.doc_id.eqNullSafe(how_often.doc_id)).drop(how_often.doc_id)
-    if how_often.where("rows > 1").limit(1).count():  # rows that repeat an id share what it is taken, as evenly as can be
+    out = docs.join(found.hint("shuffle_hash"), docs.doc_id.eqNullSafe(found[names["id"]]))
+    n, rows = F.col(names["n"]), F.col(names["rows"])
+    if found.where(rows > 1).limit(1).count():  # rows that repeat an id share what it is taken, as evenly as can be
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text"))
-        out = out.withColumn("_place", place).withColumn("copies", F.floor(F.col("copies") / F.col("rows")) + (F.col("_place") <= F.col("copies") % F.col("rows")).cast("long")).drop("_place")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+        out = out.withColumn(names["place"], place).withColumn(names["n"], F.floor(n / rows) + (F.col(names["place"]) <= n % rows).cast("long"))
+    repeated = F.explode(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))))  # no copy, no row
+    return out.withColumn(names["place"], repeated).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
