@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .formats import CONFIDENCE, DOC, DOCX, EPUB, EXTENSIONS, OLE_HEAD, PPT, PPTX, SIGNATURES, UNKNOWN, XLS, XLSX, ZIP_HEAD
 
-#: Unicode white space, as a class for both ends of a text; trim() takes blanks only.
-SPACE = r"[\s\u0085   -     　]+"
+#: Unicode white space; trim() by itself takes blanks only.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 HEAD = 8192
 
 
@@ -27,7 +27,8 @@ def _bytes(data: bytes) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    """Looks at the ends alone, so it costs nothing on long texts."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def method(mime: Column, by: str, confidence: float | None = None) -> Column:
@@ -100,7 +101,7 @@ def by_zip(data: Column) -> Column:
 
 
 def css_signs(text: Column) -> Column:
-    """How many of four signs of a style sheet a trimmed text has."""
+    """How many of four signs of a style sheet a text has; white space around it makes no difference."""
     has = lambda *xs: reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in xs)).cast("int")
     braces = (F.contains(text, F.lit("{")) & F.contains(text, F.lit("}")) & F.contains(text, F.lit(":"))).cast("int")
     rules = has("@import", "@media", "@charset", "@font-face", "@keyframes", "@supports")
@@ -109,8 +110,7 @@ def css_signs(text: Column) -> Column:
 
 
 def looks_like_css(text: Column) -> Column:
-    t = trimmed(text)
-    return (F.octet_length(t) >= 10) & (css_signs(t) >= 2)
+    return (F.octet_length(trimmed(text)) >= 10) & (css_signs(text) >= 2)
 
 
 def first_line(text: Column) -> Column:
@@ -127,9 +127,9 @@ def by_content_text(text: Column) -> Column:
     """Detection by the shape of a text; null for an empty one."""
     t = trimmed(text)
     inside = lambda a, b: F.startswith(t, F.lit(a)) & F.endswith(t, F.lit(b))
-    tag = F.startswith(t, F.lit("<")) & F.contains(t, F.lit(">"))
-    html = F.contains(t, F.lit("<html")) | F.contains(t, F.lit("<HTML"))
-    markup = F.when(F.contains(t, F.lit("<?xml")), "text/xml").when(html, "text/html").when(F.contains(t, F.lit("<svg")), "image/svg+xml").otherwise("text/xml")
+    holds = lambda x: F.contains(text, F.lit(x))  # noqa: E731  no sign has white space, so the untrimmed text does
+    tag = F.startswith(t, F.lit("<")) & holds(">")
+    markup = F.when(holds("<?xml"), "text/xml").when(holds("<html") | holds("<HTML"), "text/html").when(holds("<svg"), "image/svg+xml").otherwise("text/xml")
     line = first_line(text)
     table = (line_count(text) > 1) & (F.contains(line, F.lit(",")) | F.contains(line, F.lit("\t")))
     json = inside("{", "}") | inside("[", "]")
@@ -222,15 +222,16 @@ def delimiter(data: Column) -> Column:
     """Delimiter of a table's text: the one whose count in the first ten lines agrees most with that of the first line, weighed by it; a comma if none occurs."""
     head = F.substring(data, 1, 1024)
     lines = F.slice(F.split(F.regexp_replace(head.cast("string"), r"\n$", ""), "\n"), 1, 10)
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  so that a value used often is made once
+    marks = ((",", "comma"), (";", "semicolon"), ("\t", "tab"), ("|", "pipe"))
 
-    def score(mark: str) -> Column:
+    def score(lines: Column, mark: str) -> Column:
         counts = F.transform(lines, lambda s: F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit(""))))
-        first = F.element_at(counts, 1)
-        return F.size(F.filter(counts, lambda c: c == first)) * first
+        return once(counts, lambda c: F.size(F.filter(c, lambda n: n == F.element_at(c, 1))) * F.element_at(c, 1))
 
-    scores = F.array(*[F.struct(score(m).alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("name")) for k, (m, n) in enumerate(((",", "comma"), (";", "semicolon"), ("\t", "tab"), ("|", "pipe")))])
-    best = F.array_max(scores)
-    return F.when(F.is_valid_utf8(head.cast("string")) & (best["score"] > 0), best["name"]).otherwise("comma")
+    best = once(lines, lambda ls: F.array_max(F.array(*[F.struct(score(ls, m).alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("name")) for k, (m, n) in enumerate(marks)])))
+    named = once(best, lambda x: F.when(x["score"] > 0, x["name"]))
+    return F.coalesce(F.when(F.is_valid_utf8(head.cast("string")), named), F.lit("comma"))
 
 
 def looks_like_text(text: Column) -> Column:

@@ -52,7 +52,7 @@ class Vocabulary:
 
     def bonus(self, text: str) -> float:
         """What the last word of a text is worth."""
-        last = text[len(text.rstrip()) :] and "" or text.split()[-1].lower() if text.strip() else ""
+        last = "" if not text or text[-1].isspace() else text.split()[-1].lower()
         return 0.0 if not last else WORD if last in self.words else BEGINNING if last in self.beginnings else 0.0
 
 

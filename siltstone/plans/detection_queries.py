@@ -183,7 +183,7 @@ def sink_detection_json(spark, sf):
     return table(spark, sf, "documents").select("doc_id", x.alias("x")).select("doc_id", sinks.detection_json(F.col("x")).alias("shown"))
 
 
-_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+"
+_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _SHADOWED: list[tuple[str, int, str]] = []
 for _m, _o, _p in SIGNATURES:
     if not any((o, p) == (_o, _p) for _, o, p in _SHADOWED):

@@ -45,7 +45,8 @@ def knn_vote(spark, sf):
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     """(image, id, x, y, w, h): an order is an image, its lines are regions."""
     c = lambda name: F.col(name).cast("long")
-    return table(spark, sf, "lineitem").select(c("l_orderkey").alias("image"), (c("l_linenumber") * 1_000_000_000_000 + c("l_partkey") * 100_000 + c("l_suppkey")).alias("id"), (c("l_partkey") % 40).alias("x"), (c("l_suppkey") % 20).alias("y"), (5 + c("l_quantity") % 20).alias("w"), (4 + c("l_linenumber") * 3 % 9).alias("h"))
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
+    return table(spark, sf, "lineitem").select(c("l_orderkey").alias("image"), number.alias("id"), (c("l_partkey") % 40).alias("x"), (c("l_suppkey") % 20).alias("y"), (5 + c("l_quantity") % 20).alias("w"), (4 + c("l_linenumber") * 3 % 9).alias("h"))
 
 
 def iou_pairs(spark, sf):
@@ -158,7 +159,7 @@ _SEEN = f"(SELECT doc_id, {_COUNTS}, CAST(length(regexp_replace(text, '[{scripts
 _LONG = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS script, {k} AS place, {s} AS n FROM s" for k, s in enumerate(scripts.CLASSES)) + f" UNION ALL SELECT doc_id, 'Other', 99, total - ({' + '.join(scripts.CLASSES)}) FROM s"
 _MEANS = "(SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
 _NEAR = f"(SELECT vec_id, m.label, list_distance(CAST(embedding AS DOUBLE[]), mean) AS d, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(CAST(embedding AS DOUBLE[]), mean), m.label) AS rank FROM embeddings, {_MEANS} m QUALIFY rank <= 3)"
-_BOX = "(SELECT l_orderkey AS image, CAST(l_linenumber AS BIGINT) * 1000000000000 + CAST(l_partkey AS BIGINT) * 100000 + l_suppkey AS id, l_partkey % 40 AS x, l_suppkey % 20 AS y, 5 + CAST(l_quantity AS BIGINT) % 20 AS w, CAST(4 + l_linenumber * 3 % 9 AS BIGINT) AS h FROM lineitem)"
+_BOX = "(SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, l_partkey % 40 AS x, l_suppkey % 20 AS y, 5 + CAST(l_quantity AS BIGINT) % 20 AS w, CAST(4 + l_linenumber * 3 % 9 AS BIGINT) AS h FROM lineitem)"
 _INTER = "greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y))"
 _WORDS = lambda t: f"(SELECT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM {t}) WHERE word <> '')"
 
