@@ -34,6 +34,8 @@ FOLDS, HELD_OUT = 7, 2
 HEADS, SLOTS, TAILS, KNOWN = 24, 32, 16, 1 << 16
 #: Rows of each hashed table, features of a history, AdaGrad's step, tokens of a numpy batch.
 ROWS, FEATURES, STEP, BATCH = 1 << 14, 3, 1.0, 1 << 12
+#: Shares of a step of the count that is too large to be taken whole.
+SHARES = 1 << 12
 END = b"\n"  # cannot be part of a word
 LN10 = float(np.log(10))
 
@@ -242,15 +244,25 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     tails = np.zeros((2, TAILS), dtype=np.int64)
     for r in counts.groupBy((last % TAILS).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tails[:, r.k] += r.n, r.v
-    # The largest set of whole steps of the count that has KNOWN words at most: no task sends more than its share of them.
-    step = F.floor(F.log2("n") * 64).cast("int")
-    least, held = 0, 0
+    # Whole steps of the count while they fit, then whole shares of the step that is cut, then words of one share: no task sends more than its part of them.
+    step, share = F.floor(F.log2("n") * 64).cast("int"), F.pmod(F.xxhash64("word"), F.lit(SHARES)).cast("int")
+    order = lambda rows: sorted(((bytes(r.word), r.n) for r in rows.collect()), key=lambda x: (-x[1], x[0]))
+    least, held, cut = 0, 0, None
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
         if held + r["count"] > KNOWN:
-            least = r.step + 1
+            least, cut = r.step + 1, counts.where(step == r.step)
             break
         held += r["count"]
-    ranked = sorted(((bytes(r.word), r.n) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+    ranked = order(counts.where(step >= least))
+    if cut is not None and held < KNOWN:
+        end = 0
+        for r in sorted(cut.groupBy(share.alias("share")).count().collect()):
+            end = r.share
+            if held + r["count"] > KNOWN:
+                break
+            held += r["count"]
+        ranked += order(cut.where(share < end)) + order(cut.where(share == end))[: KNOWN - held]
+        ranked.sort(key=lambda x: (-x[1], x[0]))
     return Vocabulary(ranked, int(tails[0].sum()), int(tails[1].sum()), tails)
 
 

@@ -8,3 +8,11 @@ from siltstone.llm import maxent
 def test_head_words(spark):
     counts = spark.range(2000).select(F.concat(F.lit("w"), "id").cast("binary").alias("word"), (F.col("id") + 1).alias("n"))
     assert maxent.vocabulary(counts).head == 24 * 32
+
+
+def test_equal_counts_fill_the_known_words(spark):
+    words = F.concat(F.lit("w"), "id").cast("binary").alias("word")
+    v = maxent.vocabulary(spark.range(70_000).select(words, F.lit(1).cast("long").alias("n")))
+    assert len(v.id) == maxent.KNOWN and v.head == maxent.HEADS * maxent.SLOTS
+    more = maxent.vocabulary(spark.range(70_000).select(words, F.when(F.col("id") < 100, 9).otherwise(1).cast("long").alias("n")))
+    assert len(more.id) == maxent.KNOWN and (more.count[:100] == 9).all() and (more.count[100:] == 1).all()
