@@ -58,16 +58,91 @@ def vote(found: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def label_medoids(vectors: DataFrame, k: int, choice: int = CHOICE) -> DataFrame:
-    """(label, vec_id): k medoids of each label, sought among its ``choice`` rows of the least seeded hash, so that no label is gathered whole."""
+    """(label, vec_id): k medoids of each label. Larger labels than ``choice`` rows have candidates of the least seeded hash, and costs over all their rows."""
+    spark, kind = vectors.sparkSession, vectors.schema["label"].dataType.simpleString()
     draw = F.xxhash64(F.lit(SEED), "vec_id")
     place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "vec_id"))
-    some = vectors.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"), draw.alias("draw")).where("v is not null").withColumn("place", place).where(F.col("place") <= choice)
+    rows = vectors.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"), draw.alias("draw")).where("v is not null")
+    some = rows.withColumn("place", place).where(F.col("place") <= choice)
+    big = sorted((r["label"] for r in rows.groupBy("label").count().where(F.col("count") > choice).collect()), key=lambda x: (x is not None, x))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id").reset_index(drop=True)
         return pdf.loc[medoids(np.stack(pdf.v.to_numpy()), k), ["label", "vec_id"]]
 
-    return some.groupBy("label").applyInPandas(choose, f"label {vectors.schema['label'].dataType.simpleString()}, vec_id long")
+    schema = f"label {kind}, vec_id long"
+    if not big:
+        return some.groupBy("label").applyInPandas(choose, schema)
+    named = lambda part: F.broadcast(spark.createDataFrame(list(zip(part, range(len(part)))), f"name {kind}, at int"))
+    every = named(big)
+    out = some.join(every, F.col("label").eqNullSafe(F.col("name")), "left_anti").groupBy("label").applyInPandas(choose, schema)
+    most = max(1, PROTOTYPES // choice)
+    for low in range(0, len(big), most):  # so many labels at once that their candidates can go to every task
+        part = big[low : low + most]
+        of = lambda df: df.join(named(part), F.col("label").eqNullSafe(F.col("name")))  # noqa: B023, E731
+        found: list[list] = [[] for _ in part]
+        for r in of(some).select("at", "vec_id", "v").collect():
+            found[r["at"]].append((r["vec_id"], r["v"]))
+        found = [sorted(x) for x in found]
+        chosen = _swapped(of(rows).select("at", "v"), [np.array([v for _, v in x]) for x in found], k)
+        out = out.union(spark.createDataFrame([(name, x[j][0]) for name, x, c in zip(part, found, chosen) for j in sorted(c)], schema))
+    return out
+
+
+def _swapped(rows: DataFrame, candidates: list[np.ndarray], k: int, rounds: int = 50) -> list[list[int]]:
+    """Places of the k medoids among each label's ``candidates``, as medoids() finds them, with costs over all ``rows`` (at, v): a task sums its rows for each candidate before anything moves."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(candidates)
+
+    def costs(rests: dict[int, list[list[int]]]) -> dict:
+        """For each label and each list of its medoids that stay: the cost with each candidate added."""
+
+        def add(batches):
+            total: dict = {}
+            for b in batches:
+                for at, v in b.groupby("at").v:
+                    if at not in rests:
+                        continue
+                    x, c = np.stack(v.to_numpy()), sent.value[at]
+                    for lo in range(0, len(x), step := max(1, (1 << 22) // max(1, c.size))):
+                        d = np.sqrt(((x[lo : lo + step, None] - c[None]) ** 2).sum(axis=2))
+                        for slot, rest in enumerate(rests[at]):
+                            near = d[:, rest].min(axis=1)[:, None] if rest else np.inf
+                            total[at, slot] = total.get((at, slot), 0) + np.minimum(near, d).sum(axis=0)
+            yield pd.DataFrame([(at, slot, s.tobytes()) for (at, slot), s in total.items()], columns=["at", "slot", "s"])
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            s = np.sum(sorted((np.frombuffer(x).tolist() for x in pdf.s)), axis=0)
+            return pd.DataFrame({"at": pdf["at"].iloc[:1], "slot": pdf.slot.iloc[:1], "s": [s.tobytes()]})
+
+        ddl = "at int, slot int, s binary"
+        return {(r["at"], r["slot"]): np.frombuffer(bytes(r["s"])) for r in rows.mapInPandas(add, ddl).groupBy("at", "slot").applyInPandas(whole, ddl).collect()}
+
+    chosen: list[list[int]] = [[] for _ in candidates]
+    for _ in range(k):
+        new = costs({at: [c] for at, c in enumerate(chosen)})
+        for at, c in enumerate(chosen):
+            left = new[at, 0].copy()
+            left[c] = np.inf
+            if len(c) < len(left):
+                c.append(int(left.argmin()))
+    moving = set(range(len(chosen)))
+    for _ in range(rounds):
+        if not moving:
+            break
+        new = costs({at: [chosen[at][:i] + chosen[at][i + 1 :] for i in range(len(chosen[at]))] for at in moving})
+        for at in sorted(moving):
+            c = chosen[at]
+            best = (new[at, 0][c[0]], None)
+            for i in range(len(c)):
+                j = int(new[at, i].argmin())
+                if new[at, i][j] < best[0] * (1 - 1e-12) - 1e-9:
+                    best = (new[at, i][j], (i, j))
+            if best[1] is None:
+                moving.discard(at)
+            else:
+                c[best[1][0]] = best[1][1]
+    return chosen
 
 
 def means(vectors: DataFrame, k: int, rounds: int) -> DataFrame:
