@@ -55,34 +55,38 @@ STOP_WORDS = frozenset(
 )
 
 
-def _hidden(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element's name, role, class or id says that it isn't main text."""
+def _hidden(name: str, attrs: str, in_article: int) -> int:
+    """Whether an element's name, role, class or id says that it isn't main text: 2; 1 if only a part of a class or id says so, as of a layout's wrapper; else 0."""
     if name in _OUT or (name == "header" and not in_article):
-        return True
+        return 2
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    part = 0
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 2
         if key == "role" and value.lower() in _ROLES:
-            return True
+            return 2
         if key in ("class", "id") and name not in _ROOTS:
             signs = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
             if signs & (_OF_ARTICLE if name == "article" else _SIGNS):
-                return True
-    return False
+                if name == "article" or not _SIGNS.isdisjoint(value.lower().split()):
+                    return 2
+                part = 1
+    return part
 
 
-def blocks(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of each block that nothing hides, in page order."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, in an article, in its header
+def blocks(html: str) -> list[tuple[str, int, int]]:
+    """(text, characters in links, inside an article) of each block that nothing hides, in page order; inside is 2 if a part of a wrapper's class or id would hide the article."""
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int, bool]] = []  # name, hidden, in an article, in its header
     parts: list[str] = []
     linked = links = 0
-    hidden = article = head = False
+    hidden = article = 0
+    head = False
 
     def end_block():
         nonlocal parts, linked
@@ -96,7 +100,7 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
         nonlocal hidden, article, head, links
         links -= sum(1 for s in stack[to:] if s[0] == "a")
         del stack[to:]
-        hidden, article, head = (stack[-1][1:]) if stack else (False, False, False)
+        hidden, article, head = (stack[-1][1:]) if stack else (0, 0, False)
 
     def say(text: str):
         nonlocal linked
@@ -155,8 +159,11 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
                     if stack[k][0] in ("ul", "ol", "dl", "table", "tr" if name != "tr" else "table"):
                         break
         attrs = m[3] or ""
-        inside = article or name in ("article", "main") or ("=" in attrs and re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", attrs, re.I) is not None)
-        stack.append((name, hidden or _hidden(name, attrs, article), inside, head or name == "header" and article))
+        inside = article or int(name in ("article", "main") or ("=" in attrs and re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", attrs, re.I) is not None))
+        own = max(hidden, _hidden(name, attrs, article))
+        if inside and not article and hidden == 1 and _hidden(name, attrs, article) == 0:
+            own, inside = 0, 2
+        stack.append((name, own, inside, head or name == "header" and article))
         if name == "a":
             links += 1
         if attrs.endswith("/") and name in ("svg", "path"):
@@ -184,7 +191,8 @@ def judge(text: str, linked: int) -> int:
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if any(inside for *_, inside in found):
-        return "\n\n".join(text for text, _, inside in found if inside)
+        sure = min(inside for *_, inside in found if inside)
+        return "\n\n".join(text for text, _, inside in found if inside == sure)
     first = [judge(text, linked) for text, linked, _ in found]
     if 1 not in first:
         return "\n\n".join(text for (text, *_), label in zip(found, first) if label)
