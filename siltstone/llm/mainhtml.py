@@ -1,19 +1,26 @@
 """Operator 3, the main text of web pages by two-pass block rules.
 
-A page is cut into blocks at its block-level tags. Elements that can't be main
-text by their name, role, class or id (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, reader comments) are left out. First pass: a
-block inside an article or main element is text; where a page has neither, a
-block's length, link density and density of stop words decide, and short blocks
-without a clear sign stay open. Second pass: an open block takes the label of its
-nearest decided neighbours, the better one if they are equally near; where nothing
-is decided to be text, open blocks are text.
+A page is cut into blocks at its block-level tags. First pass: each block adds up
+evidence. Long prose with many stop words speaks for it, a high share of linked
+characters against it; the names of elements, roles, classes and ids are features
+beside these: for a block in an article or main element, against one outside it,
+against one in a menu, header, footer, sidebar, notice, advert, form or reader
+comments. A heading that repeats the page's title speaks for, a copyright line
+and a place before that heading against. What comes to ``SURE`` or more is text, to ``-SURE`` or less is not, the rest
+(short or mixed blocks) stays open. Second pass: an open block takes the label of its
+nearest decided neighbours, the better one if they are equally near. A step into
+another section, over the start of a heading or of a copyright line counts as
+``FAR`` more. Where nothing is
+decided to be text, open blocks are text.
+
+Scripts, styles, form controls and what a page hides are never blocks.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +31,10 @@ from .common import table, tune
 #: Characters of a block that is long enough to be judged, and of a long one.
 SHORT, LONG = 70, 200
 LINKS, STOP_LOW, STOP_HIGH = 0.4, 0.1, 0.2
+#: Evidence that decides a block; of links, of a sign, of standing in the article, outside it, and before the heading that repeats the title.
+SURE, LINKED, SIGN, INSIDE, OUTSIDE, EARLY = 2, -3, -4, 2, -4, -2
+#: Blocks that a step over a boundary counts as.
+FAR = 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.S)
@@ -34,7 +45,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option select textarea button".split()
 )
-_OUT = frozenset("head nav footer aside form script style noscript template iframe button select option textarea label input svg math canvas object dialog menu title noframes audio video fieldset".split())
+_NEVER = frozenset("head script style noscript template iframe button select option textarea label input svg math canvas object title noframes audio video".split())
+_APART = frozenset("nav footer aside form dialog menu fieldset".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _SIGNS = frozenset(
@@ -55,74 +67,91 @@ STOP_WORDS = frozenset(
 )
 
 
-def _hidden(name: str, attrs: str, in_article: int) -> int:
-    """Whether an element's name, role, class or id says that it isn't main text: 2; 1 if only a part of a class or id says so, as of a layout's wrapper; else 0."""
-    if name in _OUT or (name == "header" and not in_article):
-        return 2
+#: How an element's names speak of its content: not at all; a part of a class or id does, as of a layout's wrapper; a whole class or id does; the element's name or role does; it isn't shown.
+NOTHING, PART, CLASS, NAME, UNSEEN = range(5)
+_COLOPHON = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)|.{0,60}\ball rights reserved\b", re.I | re.S)
+
+
+def sign(name: str, attrs: str, in_article: int) -> int:
+    """What an element's name, role, class and id say against its content."""
+    if name in _NEVER:
+        return UNSEEN
+    found = NAME if name in _APART or name == "header" and not in_article else NOTHING
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return 0
-    part = 0
+        return found
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return 2
+            return UNSEEN
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2
+            return UNSEEN
         if key == "role" and value.lower() in _ROLES:
-            return 2
+            found = max(found, NAME)
         if key in ("class", "id") and name not in _ROOTS:
             signs = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
             if signs & (_OF_ARTICLE if name == "article" else _SIGNS):
-                if name == "article" or not _SIGNS.isdisjoint(value.lower().split()):
-                    return 2
-                part = 1
-    return part
+                found = max(found, CLASS if name == "article" or not _SIGNS.isdisjoint(value.lower().split()) else PART)
+    return found
+
 
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    article: int  # 1 in an article or main element, 2 in one whose wrapper has a sign in a part of its class or id
+    sign: int
+    heading: bool
+    section: int
 
-def blocks(html: str) -> list[tuple[str, int, int]]:
-    """(text, characters in links, inside an article) of each block that nothing hides, in page order; inside is 2 if a part of a wrapper's class or id would hide the article."""
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, int, int, bool]] = []  # name, hidden, in an article, in its header
+
+def blocks(html: str) -> tuple[str, list[Block]]:
+    """The page's title, and its blocks in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, int, bool, int]] = []  # name, sign, in an article, in its header, section
     parts: list[str] = []
-    linked = links = 0
-    hidden = article = 0
-    head = False
+    title = ""
+    linked = links = sections = 0
+    mark = article = section = 0
+    head = heading = False
 
     def end_block():
-        nonlocal parts, linked
+        nonlocal parts, linked, heading
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, linked, article))
-        parts, linked = [], 0
+                out.append(Block(text, linked, article, mark, heading, section))
+        parts, linked, heading = [], 0, False
 
     def close(to: int):
-        nonlocal hidden, article, head, links
+        nonlocal mark, article, head, links, section
         links -= sum(1 for s in stack[to:] if s[0] == "a")
         del stack[to:]
-        hidden, article, head = (stack[-1][1:]) if stack else (0, 0, False)
+        mark, article, head, section = (stack[-1][1:]) if stack else (0, 0, False, 0)
 
     def say(text: str):
-        nonlocal linked
-        if hidden or head and not any(s[0] in _HEADINGS for s in reversed(stack)):
+        nonlocal linked, heading
+        if mark == UNSEEN:
+            return
+        titled = any(s[0] in _HEADINGS for s in reversed(stack))
+        if head and not titled:
             return
         text = unescape(text)
         parts.append(text)
+        heading = heading or titled and not text.isspace()
         if links:
             linked += len(text)
 
     at, size = 0, len(html)
     while at < size:
-        mark = html.find("<", at)
-        if mark < 0:
+        found = html.find("<", at)
+        if found < 0:
             say(html[at:])
             break
-        if mark > at:
-            say(html[at:mark])
-        m = _TOKEN.match(html, mark) or _LOOSE.match(html, mark)
+        if found > at:
+            say(html[at:found])
+        m = _TOKEN.match(html, found) or _LOOSE.match(html, found)
         if not m:
             say("<")
-            at = mark + 1
+            at = found + 1
             continue
         at = m.end()
         if not m.lastindex or m[2] is None:
@@ -140,6 +169,8 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
             continue
         if name in _RAW:
             tail = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
+            if name == "title" and not title:
+                title = " ".join(unescape(html[at : tail.start() if tail else size]).split())
             at = size if not tail else html.find(">", tail.start()) + 1 or size
             continue
         if name in _VOID:
@@ -159,56 +190,94 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
                     if stack[k][0] in ("ul", "ol", "dl", "table", "tr" if name != "tr" else "table"):
                         break
         attrs = m[3] or ""
-        inside = article or int(name in ("article", "main") or ("=" in attrs and re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", attrs, re.I) is not None))
-        own = max(hidden, _hidden(name, attrs, article))
-        if inside and not article and hidden == 1 and _hidden(name, attrs, article) == 0:
-            own, inside = 0, 2
-        stack.append((name, own, inside, head or name == "header" and article))
+        opens = name in ("article", "main") or ("=" in attrs and re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", attrs, re.I) is not None)
+        inside = article or int(opens)
+        own = sign(name, attrs, article)
+        if own and name not in _BLOCK:
+            own = UNSEEN  # within a line: no block of its own
+        now = max(mark, own)
+        if inside and not article and mark == PART and not own:
+            now, inside = NOTHING, 2
+        place = section
+        if own or opens and not article:
+            sections += 1
+            place = sections
+        stack.append((name, now, inside, head or name == "header" and bool(article), place))
         if name == "a":
             links += 1
         if attrs.endswith("/") and name in ("svg", "path"):
             close(len(stack) - 1)
             continue
-        hidden, article, head = stack[-1][1:]
+        mark, article, head, section = stack[-1][1:]
     end_block()
-    return out
+    return title, out
 
 
-def judge(text: str, linked: int) -> int:
-    """First pass: 1 text, 0 not, -1 open."""
+def prose(text: str, linked: int) -> int:
+    """Evidence of a block's length, stop words and links, whatever its tags are."""
     density = linked / max(1, len(text))
     if density > LINKS:
+        return LINKED
+    if len(text) < SHORT:
         return 0
     words = text.split()
     stop = sum(w.lower().strip(".,;:!?\"'()*&%$#") in STOP_WORDS for w in words) / len(words)
-    if len(text) < SHORT:
-        return -1
-    if stop >= STOP_HIGH:
-        return 1 if len(text) >= LONG or density == 0 else -1
-    return -1 if stop >= STOP_LOW or len(text) < LONG or density == 0 else 0
+    if stop >= STOP_HIGH and (len(text) >= LONG or density == 0):
+        return SURE
+    return 1 if stop >= STOP_LOW else -1 if len(text) >= LONG and density > 0 else 0
 
 
-def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    if any(inside for *_, inside in found):
-        sure = min(inside for *_, inside in found if inside)
-        return "\n\n".join(text for text, _, inside in found if inside == sure)
-    first = [judge(text, linked) for text, linked, _ in found]
+def colophon(b: Block) -> bool:
+    return not b.article and len(b.text) < 2 * LONG and _COLOPHON.match(b.text) is not None
+
+
+def first_pass(title: str, found: list[Block]) -> list[int]:
+    """1 text, 0 not, -1 open."""
+    sure = min((b.article for b in found if b.article and b.sign < CLASS), default=0)
+    titled = next((k for k, b in enumerate(found) if b.heading and len(title) > 2 and (b.text.startswith(title) or title.startswith(b.text))), -1)
+    evidence, own = [], []
+    for k, b in enumerate(found):
+        e = p = prose(b.text, b.linked)
+        if k == titled:
+            e += SURE
+        elif colophon(b):
+            e += SIGN
+        elif k < titled and not b.article:
+            e += EARLY
+        if sure:
+            e += INSIDE if b.article == sure else OUTSIDE
+        if b.sign:
+            e += SIGN
+        evidence.append(e)
+        own.append(p)
+    if max(evidence, default=0) < SURE:  # a class or id alone doesn't hide all prose that a page has
+        doubted = {b.section for p, b in zip(own, found) if p >= SURE and b.sign in (PART, CLASS)}
+        evidence = [e - SIGN if b.section in doubted and b.sign in (PART, CLASS) else e for e, b in zip(evidence, found)]
+    return [1 if e >= SURE else 0 if e <= -SURE else -1 for e in evidence]
+
+
+def second_pass(first: list[int], found: list[Block]) -> list[int]:
+    """Labels without open ones, each scan carrying the nearest decided block along."""
     if 1 not in first:
-        return "\n\n".join(text for (text, *_), label in zip(found, first) if label)
-    before, after = [(10**9, 0)] * len(first), [(10**9, 0)] * len(first)
-    for order, near in ((range(len(first)), before), (range(len(first) - 1, -1, -1), after)):
-        last = (10**9, 0)
-        for k in order:
-            last = (0, first[k]) if first[k] >= 0 else (last[0] + 1, last[1])
-            near[k] = last
-    kept = []
-    for (text, *_), label, b, a in zip(found, first, before, after):
-        if label < 0:
-            label = max(b[1], a[1]) if b[0] == a[0] else min(b, a)[1]
-        if label:
-            kept.append(text)
-    return "\n\n".join(kept)
+        return [int(label != 0) for label in first]
+    n, none = len(first), (10**9, 0)
+    step = [1 + FAR * ((found[k].section != found[k + 1].section) + (found[k + 1].heading or colophon(found[k + 1]))) for k in range(n - 1)]
+    before, after = [none] * n, [none] * n
+    last = none
+    for k in range(n):
+        last = (0, first[k]) if first[k] >= 0 else (last[0] + step[k - 1] if k else last[0], last[1])
+        before[k] = last
+    last = none
+    for k in range(n - 1, -1, -1):
+        last = (0, first[k]) if first[k] >= 0 else (last[0] + step[k] if k < n - 1 else last[0], last[1])
+        after[k] = last
+    return [label if label >= 0 else max(b[1], a[1]) if b[0] == a[0] else min(b, a)[1] for label, b, a in zip(first, before, after)]
+
+
+def main_text(html: str | None) -> str:
+    title, found = blocks(html or "")
+    labels = second_pass(first_pass(title, found), found)
+    return "\n\n".join(b.text for b, label in zip(found, labels) if label)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -103,11 +103,6 @@ def test_main_text_without_article():
     assert got == [body.strip(), "Short one.", body.strip()]
 
 
-def test_pages_of_the_tables(spark, sf):
-    for r in mainhtml.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect():
-        assert r.text and r.n_chars == len(r.text) and "<" not in r.text.replace("<", "", 0)[:0] + ""
-
-
 # 4, 10: SQL --------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_equals_sql(name, spark, sf):
