@@ -106,7 +106,7 @@ def test_evidence_of_names():
     assert mainhtml.main_text(f"<body>{outside}<article><p>Short.</p><p><a href=x>a link that is a paragraph</a></p></article>{outside}</body>") == "Short.\n\na link that is a paragraph"
     assert mainhtml.main_text(f"<div class='notice'>{PROSE}</div><div>{PROSE}</div><div class=comments><p>{PROSE}</p></div>") == PROSE.strip()
     assert mainhtml.main_text(f"<div class='widget'><p>{PROSE}</p><p>And more.</p></div>") == PROSE.strip() + "\n\nAnd more."  # a class alone doesn't hide all
-    assert mainhtml.main_text(f"<title>The news</title><p>{PROSE}</p><h1>The news</h1><p>{PROSE}</p><p>© 2020 nobody</p>") == f"The news\n\n{PROSE.strip()}"
+    assert mainhtml.main_text(f"<title>The news</title><a href=x>Menu</a><p>A short word of ours.</p><h1>The news</h1><p>{PROSE}</p><p>© 2020 nobody</p>") == f"The news\n\n{PROSE.strip()}"
 
 
 def test_long_page_and_clashing_columns(spark):
