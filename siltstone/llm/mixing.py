@@ -6,25 +6,30 @@ length: an equal share of every length first, then longest lengths first, then a
 bounded-knapsack dynamic programme (binary splitting over a bit set) over what is
 left, which is less than a bounded number of words. Where a source's documents,
 each once, give no exact sum, each may be taken as often as is allowed. The fit
-works on counts by length alone. Which documents of a length are taken is decided by a seeded hash
-of the id: buckets of the hash below the count first, and within the one bucket
-that is cut, by rank.
+works on counts by length alone. Which documents of a length are taken is decided by
+a seeded hash of the row: the plan holds, for each length, the hash up to which rows
+are taken once more, found by counting buckets of the hash and then the one bucket
+that is cut.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import removed, table, tune, words, written
+from .common import removed, table, task_partition, tune, words, written
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 9
-#: Buckets of the seeded hash, for choosing documents of one length without sorting them all.
-BUCKETS = 1 << 14
+#: Bits of the seeded hash, and of its buckets, for choosing documents of one length without sorting them all.
+DRAW_BITS, BUCKET_BITS = 62, 14
 #: Words that the dynamic programme fills at most.
 DP_WORDS = 1 << 17
+#: Rows of a table of lengths that is sent to every task at most; shares of the rows of a length beyond that.
+SENT, SALTS = 1 << 16, 32
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, most: float = MOST) -> dict:
@@ -85,26 +90,73 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return take
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """The rows with ``_size``: words of the text, 0 for null. A native expression of the bytes would need a regular expression on each text; this is a split."""
-    import pyarrow as pa
+def sized(docs: DataFrame, size: str, draw: str, seed: int) -> DataFrame:
+    """The rows with two more columns: words of the text, 0 for null, and a seeded hash of the row's id, source and text. Counting words natively would take a regular expression over each text; this is a split."""
 
     @F.pandas_udf("long")
     def count(text: pd.Series) -> pd.Series:
         return pd.Series([0 if t is None else len(words(t)) for t in text], dtype="int64")
 
-    return docs.withColumn("_size", count(F.col("text").cast("binary")))
+    seeded = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source").cast("string"), F.col("text")), F.lit(1 << DRAW_BITS))
+    return docs.withColumn(draw, seeded).withColumn(size, count(F.col("text").cast("binary")))
 
 
-def copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix takes each row of ``docs`` (doc_id, source, text)."""
-    spark = docs.sparkSession
-    tune(spark)
-    rows = written(sized(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), "text")).select("doc_id", "source", F.col("_size").alias("size"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)).alias("draw")), "sizes")
-    bucket = F.floor(F.col("draw") / F.lit((1 << 40) // BUCKETS))
-    by_source = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    wanted = targets(by_source, weights, most)
-    goals = spark.createDataFrame([(s, int(by_source[s]), float(wanted[s])) for s in by_source], "source string, source_size long, target double")
+def goals(rows: DataFrame, weights: tuple, most: float) -> DataFrame:
+    """(source, source_size, target) of ``rows`` (source, size): what targets() gives, without a list of all sources in one place.
+
+    Sources are numbered in sorted parts; then the share of a unit of weight rises
+    round by round, each time by what the sources that are full leave over.
+    """
+    out = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("part", pa.int64()), ("place", pa.int64())])
+
+    def number(batches):
+        part, place = task_partition(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, part)), pa.array(np.arange(place, place + b.num_rows))], schema=out)
+            place += b.num_rows
+
+    order = F.col("source").asc_nulls_last()
+    sums = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    placed = written(sums.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(number, "source string, source_size long, part long, place long"), "sources")
+    before, total = [], 0
+    for part, n in sorted(placed.groupBy("part").count().collect()):  # a number for each part
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    rank = F.col("place") + (F.create_map(*before)[F.col("part")] if before else F.lit(0))
+    weighed = placed.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")).alias("weight"))
+    limit = F.col("source_size") * most / F.col("weight")
+    share = 0.0
+    while True:
+        free = limit >= share
+        full, weight, whole = weighed.agg(F.sum(F.when(~free, F.col("source_size") * most)), F.sum(F.when(free, F.col("weight"))), F.sum("source_size")).first()
+        new = (float(whole or 0) - float(full or 0)) / weight if weight else share
+        if not weight or new <= share:
+            break
+        share = new
+    return weighed.select("source", "source_size", F.when(limit < share, F.col("source_size") * float(most)).otherwise(F.col("weight") * share).cast("double").alias("target"))
+
+
+def same(a: DataFrame, b: DataFrame):
+    return a.source.eqNullSafe(b.source) & (a["size"] == b["size"])
+
+
+def with_lengths(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``rows`` (source, size, draw, ...) joined with a table of lengths (source, size, ...). The latter is sent to all tasks if it is small; else it is repeated for each of SALTS shares of the rows, so that a length that many rows have goes to many tasks."""
+    extra = [c for c in lengths.columns if c not in ("source", "size")]
+    if lengths.count() <= SENT:
+        lengths = F.broadcast(lengths)
+        return rows.join(lengths, same(rows, lengths)).select(*(rows[c] for c in rows.columns), *extra)
+    salted = rows.withColumn("__mix_salt", F.pmod(F.col("draw"), F.lit(SALTS)).cast("int"))
+    many = lengths.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(many, same(salted, many) & (salted["__mix_salt"] == many["__mix_salt"])).select(*(salted[c] for c in rows.columns), *extra)
+
+
+def plan(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(source, size, source_size, target, whole, edge, of_edge, at_edge) of each length in ``rows`` (source, size, draw).
+
+    Each row of the length is taken ``whole`` times, and once more if its draw is
+    below ``edge``; of the ``at_edge`` rows that have this draw, ``of_edge`` once more.
+    """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         size, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
@@ -119,25 +171,57 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: in
                 more = fit({s: n * (most - least) for s, n in counts.items()}, round(target) - least * size)
                 best = max(best, {s: least * n + more.get(s, 0) for s, n in counts.items()}, key=words_of)
         taken = [best[int(s)] for s in pdf["size"]]
-        return pd.DataFrame({"source": pdf.source, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "n": pdf["n"], "whole": [k // n for k, n in zip(taken, pdf["n"])], "more": [k % n for k, n in zip(taken, pdf["n"])]})
+        return pd.DataFrame({"source": pdf.source, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "whole": [k // n for k, n in zip(taken, pdf["n"])], "more": [k % n for k, n in zip(taken, pdf["n"])]})
 
+    aims = goals(rows, weights, most)
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
-    plan = written(lengths.join(goals, lengths.source.eqNullSafe(goals.source)).drop(goals.source).groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, n long, whole long, more long"), "mix")
-    # Of the lengths that are cut, the hash bucket in which the count is reached.
-    cut = plan.where("more > 0 and more < n").select("source", "size", "more")
-    same = lambda a, b: a.source.eqNullSafe(b.source) & (a["size"] == b["size"])
-    some = rows.join(cut, same(rows, cut)).select(rows.source, rows["size"], bucket.alias("bucket"), "more").groupBy("source", "size", "bucket", "more").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = some.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before < more and before + n >= more").select("source", "size", F.col("bucket").alias("edge"), (F.col("more") - F.col("before")).alias("of_edge"))
-    plan2 = plan.join(edge, same(plan, edge), "left").select(plan.source, plan["size"], "source_size", "target", "whole", "more", plan.n, "edge", "of_edge")
-    dealt = rows.join(plan2, same(rows, plan2)).select("doc_id", rows.source, rows["size"], "draw", "source_size", "target", "whole", "more", "n", "edge", "of_edge").withColumn("bucket", bucket)
-    sure = F.when(F.col("more") >= F.col("n"), 1).when(F.col("edge").isNull(), 0).when(F.col("bucket") < F.col("edge"), 1).otherwise(0)
-    here = F.col("edge").isNotNull() & (F.col("bucket") == F.col("edge"))
-    keep = ["doc_id", "source", "size", "source_size", "target"]
-    rest = dealt.where(~F.coalesce(here, F.lit(False))).select(*keep, (F.col("whole") + sure).alias("copies"))
-    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("draw", "doc_id"))
-    edge_rows = dealt.where(here).select(*keep, "whole", "of_edge", "draw").withColumn("rank", rank).select(*keep, (F.col("whole") + (F.col("rank") <= F.col("of_edge")).cast("long")).alias("copies"))
-    return rest.unionAll(edge_rows)
+    taken = written(lengths.join(aims, lengths.source.eqNullSafe(aims.source)).drop(aims.source).groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, whole long, more long"), "mix")
+    # Of the lengths that are cut, the bucket of draws in which the count is reached, then the draw.
+    bucket = F.shiftright(F.col("draw"), DRAW_BITS - BUCKET_BITS)
+    cut = taken.where("more > 0").select("source", "size", "more")
+    before = lambda by: Window.partitionBy("source", "size").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    some = with_lengths(rows.select("source", "size", "draw"), cut).groupBy("source", "size", "more", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    some = some.withColumn("before", F.coalesce(F.sum("n").over(before("bucket")), F.lit(0))).where("before < more and before + n >= more")
+    held = written(some.select("source", "size", "bucket", (F.col("more") - F.col("before")).alias("more")), "buckets")
+    near = with_lengths(rows.select("source", "size", "draw"), held).where(bucket == F.col("bucket")).groupBy("source", "size", "more", "draw").agg(F.count("*").alias("n"))
+    near = near.withColumn("before", F.coalesce(F.sum("n").over(before("draw")), F.lit(0))).where("before < more and before + n >= more")
+    edges = near.select("source", "size", F.col("draw").alias("edge"), (F.col("more") - F.col("before")).alias("of_edge"), F.col("n").alias("at_edge"))
+    whole = written(taken.join(edges, same(taken, edges), "left").select(taken.source, taken["size"], "source_size", "target", "whole", "edge", "of_edge", "at_edge"), "plan")
+    removed(taken, held)
+    return whole
+
+
+def dealt(rows: DataFrame, lengths: DataFrame, copies: str) -> DataFrame:
+    """``rows`` (source, size, draw, ...) with source_size, target and how often each is taken, by plan().
+
+    Where a draw is shared by several rows and only some of them are taken once
+    more, equal rows are counted before any of them moves, and different ones go in
+    the order of all their columns.
+    """
+    found = with_lengths(rows, lengths)
+    at = F.col("draw") == F.col("edge")
+    some = at & (F.col("of_edge") < F.col("at_edge"))
+    once = F.when(F.col("draw") < F.col("edge"), 1).when(at, 1).otherwise(0)
+    keep = [*rows.columns, "source_size", "target"]
+    out = found.where(~F.coalesce(some, F.lit(False))).select(*keep, (F.col("whole") + F.coalesce(once, F.lit(0))).alias(copies))
+    if not lengths.where("of_edge < at_edge").limit(1).count():
+        return out
+    every = [*keep, "whole", "of_edge"]
+    tied = found.where(some).groupBy(*every).agg(F.count("*").alias("__mix_n"))
+    ahead = F.coalesce(F.sum("__mix_n").over(Window.partitionBy("source", "size").orderBy(*rows.columns).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tied = tied.withColumn("__mix_before", ahead).withColumn("__mix_at", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int"))))
+    return out.unionAll(tied.select(*keep, (F.col("whole") + (F.col("__mix_before") + F.col("__mix_at") <= F.col("of_edge")).cast("long")).alias(copies)))
+
+
+def copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how often the mix takes each row of ``docs`` (doc_id, source, text).
+
+    Nulls, repeated rows, empty texts and empty tables as in mix().
+    """
+    tune(docs.sparkSession)
+    rows = sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), "size", "draw", seed)
+    rows = written(rows.select("doc_id", "source", "size", "draw"), "sizes")
+    return dealt(rows, plan(rows, weights, most), "copies").drop("draw")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
@@ -151,18 +235,24 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
-    names = {"id": "__mix_id", "n": "__mix_copies", "rows": "__mix_rows", "place": "__mix_place"}  # no column of the input is called so
-    found = copies(docs, weights, most, seed).groupBy(F.col("doc_id").alias(names["id"])).agg(F.sum("copies").alias(names["n"]), F.count("*").alias(names["rows"]))
-    found = written(found.where(F.col(names["n"]) > 0), "copies")
-    # Without the hint a small input would be joined by broadcast and a large one not; so the plan is alike at every size, and texts aren't sorted.
-    out = docs.join(found.hint("shuffle_hash"), docs.doc_id.eqNullSafe(found[names["id"]]))
-    n, rows = F.col(names["n"]), F.col(names["rows"])
-    if found.where(rows > 1).limit(1).count():  # rows that repeat an id share what it is taken, as evenly as can be
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text"))
-        out = out.withColumn(names["place"], place).withColumn(names["n"], F.floor(n / rows) + (F.col(names["place"]) <= n % rows).cast("long"))
-    repeated = F.explode(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))))  # no copy, no row
-    return out.withColumn(names["place"], repeated).select(*docs.columns)
+    """The rows of ``docs`` (doc_id, source, text, ...), with all their columns, each as often as the mix takes it.
+
+    A row's size and draw are made anew from its own columns and looked up in the
+    plan of lengths, so texts don't move and an id in several sources, or a null
+    one, is no special case. Nulls, repeated rows, empty texts and empty tables as
+    in mix(); a row that the mix doesn't take is left out. ``docs`` has to give the
+    same rows each time it is read.
+    """
+    tune(docs.sparkSession)
+    rows = sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), "size", "draw", seed)
+    rows = written(rows.select("source", "size", "draw"), "sizes")
+    lengths = plan(rows, weights, most)
+    removed(rows)
+    # The columns of docs travel as one, under a name that nothing else has.
+    whole = sized(docs.select(F.struct(*docs.columns).alias("__mix_row"), "doc_id", F.col("source").cast("string").alias("source"), "text"), "size", "draw", seed)
+    taken = dealt(whole.select("__mix_row", "source", "size", "draw"), lengths, "copies")
+    repeated = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))))  # no copy, no row
+    return taken.select("__mix_row", repeated.alias("__mix_at")).select("__mix_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
