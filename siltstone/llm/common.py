@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -24,8 +25,16 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own where that is unset (tests, one machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/siltstone").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Only a session that runs in one process may do without it."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = "file:///tmp/checkpoints/siltstone"
+    return own.rstrip("/")
+
+
+_tables: list[str] = []
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -33,17 +42,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _tables:
+        _tables.remove(path)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, df._siltstone_path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this process have written and not removed, once their results have been read or saved."""
+    for path in list(_tables):
+        _delete(spark, path)
 
 
 def crc_of_id(doc_id: str | Column = "doc_id") -> Column:

@@ -264,15 +264,18 @@ def id_counts(rows: DataFrame, width: str) -> np.ndarray:
     return counts
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tag: str = "tokens") -> tuple[DataFrame, np.ndarray]:
-    """The table of blocks (part, block, first: tokens before it in its part, tokens, bytes) in ascending doc_id order, and the code lengths, which stand beside it."""
+def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tag: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """The two tables of the format: blocks (part, block, first: tokens before it in its part, tokens, bytes) in ascending doc_id order, and codes (id, length).
+
+    ``docs`` (doc_id, text): nulls, repeated ids and empty tables as in token_output().
+    """
     spark = docs.sparkSession
     tune(spark)
     rows = written(encoded(docs, path, end_id), f"{tag}-ids")
     width = id_type(path)
     counts = id_counts(rows, width)
     lengths = code_lengths(counts, max(16, int(np.count_nonzero(counts)).bit_length() + 1))
-    written(spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int").coalesce(1), f"{tag}-codes")
+    codes = written(spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int").coalesce(1), f"{tag}-codes")
     sent = spark.sparkContext.broadcast(lengths)  # a byte for each id of the vocabulary
     out = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.binary())])
 
@@ -300,12 +303,26 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tag: str = "t
     order = ["doc_id", "row"]
     blocks = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(write, "part long, block long, first long, tokens long, bytes binary"), tag)
     removed(rows)
-    return blocks, lengths
+    return blocks, codes
 
 
-def read_tokens(blocks: DataFrame, lengths: np.ndarray, what: str = "digest") -> DataFrame:
-    """The documents of written blocks: doc_id, start (ids of all before it), n_tokens and ids_crc32, or with ``what="ids"`` the ids (array)."""
+def read_codes(codes: DataFrame) -> np.ndarray:
+    """Length of each id's code, as the table of codes has it: a row for each id of the vocabulary at most."""
+    found = codes.select("id", "length").collect()
+    lengths = np.zeros(max((r.id for r in found), default=-1) + 1, dtype=np.uint8)
+    for r in found:
+        lengths[r.id] = r.length
+    return lengths
+
+
+def read_tokens(blocks: DataFrame, codes: DataFrame, what: str = "digest") -> DataFrame:
+    """The documents of the format's two tables: doc_id, start (ids of all before it), n_tokens and ids_crc32, or with ``what="ids"`` the ids (array).
+
+    Nothing but these tables is needed. A row for each document that was written,
+    repeated and null ids included; empty tables give no rows.
+    """
     spark = blocks.sparkSession
+    lengths = read_codes(codes)
     before, total = {}, 0  # one number for each written part
     for part, n in sorted(blocks.groupBy("part").agg(F.sum("tokens")).collect()):
         before[part], total = total, total + n
@@ -334,8 +351,7 @@ def token_output(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     repeat an id are all written, in the order in which they were read. Other
     columns are ignored. No rows give no rows.
     """
-    blocks, lengths = write_tokens(docs, path, end_id)
-    return read_tokens(blocks, lengths)
+    return read_tokens(*write_tokens(docs, path, end_id))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

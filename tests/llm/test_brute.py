@@ -19,13 +19,14 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 # 1 ---------------------------------------------------------------------------
-def test_tokens_round_trip(docs, texts):
+def test_tokens_round_trip(spark, docs, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(PATH)
     got = {r.doc_id: r for r in huffman.token_output(docs, PATH).collect()}
-    blocks, lengths = huffman.write_tokens(docs, PATH)
-    ids = {r.doc_id: r.ids for r in huffman.read_tokens(blocks, lengths, "ids").collect()}
+    blocks, codes = huffman.write_tokens(docs, PATH)
+    again = [spark.read.parquet(t._siltstone_path) for t in (blocks, codes)]  # the files alone
+    ids = {r.doc_id: r.ids for r in huffman.read_tokens(*again, "ids").collect()}
     at = 0
     for i, text in sorted(zip(texts.doc_id, texts.text)):
         want = tok.encode(text or "", add_special_tokens=False).ids + [1]
@@ -117,6 +118,25 @@ def test_url_collisions(tmp_path, monkeypatch):
     assert (index.find([f"h{k}.example/p/".encode() for k in range(50)]) >= 0).all() and (index.find([b"h99.example/p/", b"hx.example/p/"]) < 0).all()
 
 
+def test_many_url_rules(tmp_path):
+    """A hundred thousand rules, many of one host; against all rules one by one."""
+    rng = np.random.default_rng(4)
+    rules = [(("block", "allow")[k % 2], f"h{k % 3000}.d{k % 700}.example" if k % 3 else "hot.example", "/" + "ab"[k % 2] * (k % 40) + f"/{k}") for k in range(100_000)]
+    (tmp_path / "x.idx").write_bytes(urlfilter.build(rules))
+    index = urlfilter.Index(str(tmp_path / "x.idx"))
+    parts = [(h if k % 2 else f"www.{h}", p + "tail" * (k % 3)) for k, (_, h, p) in enumerate(rules[i] for i in rng.integers(0, len(rules), 150))] + [("", ""), ("none.example", "/x"), ("hot.example", "/")]
+    by_host: dict = {}
+    for v, h, p in rules:
+        by_host.setdefault(h, {})[p] = v
+    got = urlfilter.judge_batch(parts, index)
+    for (host, path), rule, verdict in zip(parts, *got):
+        fits = [(len(h + p), h + p, v) for h, own in by_host.items() if host == h or host.endswith("." + h) for p, v in own.items() if path.startswith(p)]
+        want = max(fits, default=(0, None, urlfilter.DEFAULT))
+        assert (rule, verdict) == (want[1], want[2])
+    with pytest.raises(ValueError):
+        urlfilter.build([("block", "a.co", "m")])
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2**32 - 1), st.integers(1, 30), st.sampled_from([6, 20, 64]))
 def test_topk_shard(seed, k, ones):

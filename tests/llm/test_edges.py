@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from siltstone.llm import decontaminate, huffman, mainhtml, maxent, mixing, quality, simhash, topk, toxicity, urlfilter
+from siltstone.llm import common, decontaminate, huffman, mainhtml, maxent, mixing, quality, simhash, topk, toxicity, urlfilter
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,6 +74,31 @@ def test_pages(spark):
     assert mainhtml.extract(pages.limit(0)).count() == 0 == urlfilter.judge(pages.limit(0)).count()
 
 
+def test_clashing_columns_of_urls(spark):
+    pages = spark.createDataFrame([(7, "https://sub.example.com/en/79", 1, 2, 3, 4)], "page_id long, url string, host int, path int, rule int, verdict int")
+    assert [tuple(r) for r in urlfilter.judge(pages).collect()] == [(7, "sub.example.com", "/en/79", "example.com/en/7", "allow")]
+
+
+def test_shared_folder(spark, monkeypatch):
+    """A cluster needs a folder that all executors share; one process doesn't."""
+    from types import SimpleNamespace
+
+    def session(master, own=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: own), sparkContext=SimpleNamespace(master=master))
+
+    assert common.shared_dir(session("local[4]")).startswith("file:") and common.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))
+
+
+def test_clean_up(spark):
+    kept = common.written(spark.range(5), "kept")
+    assert kept.count() == 5
+    common.clean_up(spark)
+    assert not common._tables
+
+
 def test_vectors(spark):
     one = [1.0] * 64
     rows = [(20, one, "a"), (20, one, "a"), (21, one, "b"), (22, [-1.0] * 64, "c"), (40, None, "d"), (None, one, "e"), (60, [1.0], "f"), (80, [None] + one[1:], "g")]
