@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from .common import removed, table, task_partition, tune, words, written
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 9
-#: Bits of the seeded hash, and of its buckets, for choosing documents of one length without sorting them all.
-DRAW_BITS, BUCKET_BITS = 62, 14
+#: Bits of the seeded hash, and of its beginnings by which documents of one length are counted rather than sorted.
+DRAW_BITS, BUCKET_BITS = 62, (7, 14)
 #: Words that the dynamic programme fills at most.
 DP_WORDS = 1 << 17
 #: Rows of a table of lengths that is sent to every task at most; shares of the rows of a length beyond that.
@@ -71,22 +71,27 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         take[s] -= back
         left += back * s
     reach, steps = 1, []
+    by = np.full(left + 1, -1, dtype=np.int32)  # the step that first reached each sum
     mask = (1 << (left + 1)) - 1
     for s in sorted(counts, reverse=True):
         room, part = min(counts[s] - take[s], left // s), 1
         while room > 0:
             k = min(part, room)
-            steps.append((s, k, reach))
-            reach |= (reach << (s * k)) & mask
+            new = (reach << (s * k)) & mask & ~reach
+            if new:
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little"))
+                by[at] = len(steps)
+                steps.append((s, k))
+                reach |= new
             room -= k
             part *= 2
         if reach >> left & 1:
             break
     at = reach.bit_length() - 1
-    for s, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[s] += k
-            at -= s * k
+    while at:  # what was left before a step was reached by earlier ones
+        s, k = steps[by[at]]
+        take[s] += k
+        at -= s * k
     return take
 
 
@@ -176,18 +181,19 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFra
     aims = goals(rows, weights, most)
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     taken = written(lengths.join(aims, lengths.source.eqNullSafe(aims.source)).drop(aims.source).groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, whole long, more long"), "mix")
-    # Of the lengths that are cut, the bucket of draws in which the count is reached, then the draw.
-    bucket = F.shiftright(F.col("draw"), DRAW_BITS - BUCKET_BITS)
-    cut = taken.where("more > 0").select("source", "size", "more")
-    before = lambda by: Window.partitionBy("source", "size").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    some = with_lengths(rows.select("source", "size", "draw"), cut).groupBy("source", "size", "more", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    some = some.withColumn("before", F.coalesce(F.sum("n").over(before("bucket")), F.lit(0))).where("before < more and before + n >= more")
-    held = written(some.select("source", "size", "bucket", (F.col("more") - F.col("before")).alias("more")), "buckets")
-    near = with_lengths(rows.select("source", "size", "draw"), held).where(bucket == F.col("bucket")).groupBy("source", "size", "more", "draw").agg(F.count("*").alias("n"))
-    near = near.withColumn("before", F.coalesce(F.sum("n").over(before("draw")), F.lit(0))).where("before < more and before + n >= more")
-    edges = near.select("source", "size", F.col("draw").alias("edge"), (F.col("more") - F.col("before")).alias("of_edge"), F.col("n").alias("at_edge"))
+    # Of the lengths that are cut: by ever longer beginnings of the draw, the one in which the count is reached; then the draw.
+    held, steps = written(taken.where("more > 0").select("source", "size", "more", F.lit(0).cast("long").alias("begins")), "cut"), (*BUCKET_BITS, DRAW_BITS)
+    done = [taken, held]
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    for was, now in zip((0, *steps), steps):
+        near = with_lengths(rows.select("source", "size", "draw"), held).where(F.shiftright("draw", DRAW_BITS - was) == F.col("begins"))
+        near = near.groupBy("source", "size", "more", F.shiftright("draw", DRAW_BITS - now).alias("next")).agg(F.count("*").alias("n"))
+        near = near.withColumn("before", ahead).where("before < more and before + n >= more").select("source", "size", (F.col("more") - F.col("before")).alias("more"), F.col("next").alias("begins"), "n")
+        held = written(near, "cut")
+        done.append(held)
+    edges = held.select("source", "size", F.col("begins").alias("edge"), F.col("more").alias("of_edge"), F.col("n").alias("at_edge"))
     whole = written(taken.join(edges, same(taken, edges), "left").select(taken.source, taken["size"], "source_size", "target", "whole", "edge", "of_edge", "at_edge"), "plan")
-    removed(taken, held)
+    removed(*done)
     return whole
 
 
