@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect as d
 from ..functions import guards
+from .ocr import engine
 from .parsers.base import Failure
 from .registry import parser_of, supported
 from .schema import PARSED, tagged
@@ -24,14 +25,14 @@ from .schema import PARSED, tagged
 LIMIT = 100 << 20
 
 
-def parse(data: bytes, mime: str, metadata_only: bool = False) -> dict:
-    """Text, metadata and error of one input."""
+def parse(data: bytes, mime: str, metadata_only: bool = False, ocr: engine.Config | None = None) -> dict:
+    """Text, metadata and error of one input; images are read by an engine that is switched on."""
     out: dict = {"text": None, "metadata": {}, "error": None}
     parser = parser_of(mime)
     if parser is None:
         return out | {"error": {"kind": "UnsupportedFormat", "message": f"no parser reads {mime}"}}
     try:
-        text, metadata = parser(data)
+        text, metadata = engine.with_text(mime, data, *parser(data), ocr)
     except Failure as e:
         return out | {"error": {"kind": e.kind, "message": str(e)}}
     except Exception as e:  # a parser's own slip is that row's error
@@ -40,23 +41,27 @@ def parse(data: bytes, mime: str, metadata_only: bool = False) -> dict:
     return out | {"text": None if metadata_only or text is None else clean(text), "metadata": {clean(str(k)): tagged(clean(v) if isinstance(v, str) else v) for k, v in metadata.items()}}
 
 
-def parsed(data: Column, mime: Column, metadata_only: bool = False) -> Column:
+def parsed(data: Column, mime: Column, metadata_only: bool = False, ocr: engine.Config | None = None) -> Column:
     """struct<text, metadata, error> of bytes by their type."""
 
     @F.pandas_udf(PARSED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for data, mimes in batches:
-            yield pd.DataFrame([parse(b, m, metadata_only) if b is not None and m is not None else {"text": None, "metadata": None, "error": None} for b, m in zip(data, mimes)], columns=["text", "metadata", "error"])
+            yield pd.DataFrame([parse(b, m, metadata_only, ocr) if b is not None and m is not None else {"text": None, "metadata": None, "error": None} for b, m in zip(data, mimes)], columns=["text", "metadata", "error"])
 
     return run(data, mime)
 
 
-def extract(df: DataFrame, data: str = "content", path: str | None = None, hint: str | None = None, what: str = "all", limit: int = LIMIT) -> DataFrame:
+def extract(df: DataFrame, data: str = "content", path: str | None = None, hint: str | None = None, what: str = "all", limit: int = LIMIT, ocr: engine.Config | None = None) -> DataFrame:
     """The rows of ``df`` with mime_type, detection_confidence, detected_by, and, as ``what`` asks, text, metadata and error.
 
     ``what``: detect (nothing is parsed), metadata, text, or all. A row with a hint
-    isn't looked at to find its type. Null bytes have no type and no result.
+    isn't looked at to find its type. Null bytes have no type and no result. ``ocr`` is
+    an engine for images; without one, the session's settings say whether and how
+    they are read (``siltstone.ocr``, off by default).
     """
+    conf = df.sparkSession.conf
+    ocr = ocr or engine.configured(lambda k: conf.get(k, None))
     bytes_ = F.col(data).cast("binary")
     size = F.octet_length(bytes_)
     found = d.detect_with_hint(bytes_, F.col(hint)) if hint else d.detect(bytes_, F.col(path) if path else None, head_only=path is not None)
@@ -68,7 +73,7 @@ def extract(df: DataFrame, data: str = "content", path: str | None = None, hint:
         return out
     big = (size > limit) | guards.too_large(F.col("mime_type"), size)
     known = F.col("mime_type").isin(supported())
-    out = out.withColumn("_parsed", parsed(F.when(known & ~big, bytes_), F.when(known & ~big, F.col("mime_type")), what == "metadata"))
+    out = out.withColumn("_parsed", parsed(F.when(known & ~big, bytes_), F.when(known & ~big, F.col("mime_type")), what == "metadata", ocr if ocr.enabled else None))
     error = lambda kind, message: F.struct(F.lit(kind).alias("kind"), message.alias("message"))
     refused = F.when(size.isNull(), None).when(~known, error("UnsupportedFormat", F.concat(F.lit("no parser reads "), F.col("mime_type")))).when(big, error("Io", F.concat(size.cast("string"), F.lit(" bytes are more than are read"))))
     if what in ("all", "text"):

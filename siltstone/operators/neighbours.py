@@ -12,6 +12,8 @@ from .ocr.glyphs import EPSILON, medoids
 
 #: Prototypes that are sent to every task at most; rows of a label among which its medoids are sought.
 PROTOTYPES, CHOICE, SEED = 100_000, 512, 7
+#: Rows of a shard and queries of a block of an exact search.
+SHARD, BLOCK = 1 << 16, 1 << 13
 
 
 def label_means(vectors: DataFrame) -> DataFrame:
@@ -50,11 +52,55 @@ def nearest(vectors: DataFrame, prototypes: DataFrame, k: int) -> DataFrame:
     return vectors.select("vec_id", F.col("embedding").alias("v")).mapInPandas(run, f"vec_id long, label {kind}, rank long, distance double")
 
 
-def vote(found: DataFrame, scale: float = 1.0) -> DataFrame:
-    """vec_id, label, confidence: weights 1 / (d + EPSILON) summed by label, ties by label; the confidence falls with the least distance."""
-    by_label = found.groupBy("vec_id", "label").agg(F.sum(1 / (F.col("distance") + EPSILON)).alias("weight"), F.min("distance").alias("least"))
-    best = by_label.groupBy("vec_id").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("label").alias("label"))).alias("x"), F.min("least").alias("least"))
-    return best.select("vec_id", F.col("x.label").alias("label"), F.exp(-F.col("least") / scale).alias("confidence"))
+def exact(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, label, rank, distance: the k rows of ``vectors`` (vec_id, label, embedding) nearest to each of ``queries`` (vec_id, embedding), itself left out, ties by vec_id.
+
+    Rows are dealt into shards and queries into blocks, both of bounded size; each
+    pair of these is a task of its own, and the k best of each are merged. Rows
+    without a vector or id aren't found, nor asked. Vectors have one length.
+    """
+    ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
+    rows = vectors.where(ok).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where(ok).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).dropDuplicates(["vec_id"])
+    shards, blocks = max(1, -(-rows.count() // shard)), max(1, -(-asked.count() // block))
+    of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(of(shards).alias("shard"), every(blocks).alias("block"), "vec_id", "label", "v")
+    right = asked.select(every(shards).alias("shard"), of(blocks).alias("block"), "vec_id", "v")
+    names = ["query_id", "vec_id", "label", "distance"]
+
+    def find(held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(asks):
+            return pd.DataFrame({c: [] for c in names})
+        held = held.sort_values("vec_id")
+        x, ids, labels = np.stack(held.v.to_numpy()), held.vec_id.to_numpy(), held.label.to_numpy()
+        square = (x**2).sum(axis=1)
+        out = []
+        for at in range(0, len(asks), step := max(1, (1 << 22) // len(x))):
+            q, own = np.stack(asks.v.iloc[at : at + step].to_numpy()), asks.vec_id.iloc[at : at + step].to_numpy()
+            rough = square[None] - 2 * q @ x.T
+            rough[own[:, None] == ids[None]] = np.inf
+            near = np.sort(np.partition(rough, min(k, len(x)) - 1, axis=1)[:, :k], axis=1)[:, -1]
+            slack = 1e-9 * (1 + np.abs(near) + (q**2).sum(axis=1))  # rough distances choose, exact ones rank
+            for i in range(len(q)):
+                some = np.flatnonzero(rough[i] <= near[i] + slack[i])
+                some = some[np.isfinite(rough[i][some])]
+                d = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
+                best = np.argsort(d, kind="stable")[:k]
+                out.append((np.full(len(best), own[i]), ids[some[best]], labels[some[best]], d[best]))
+        return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(names)})
+
+    kind = vectors.schema["label"].dataType.simpleString()
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(find, f"query_id long, vec_id long, label {kind}, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def vote(found: DataFrame, scale: float = 1.0, key: str = "vec_id") -> DataFrame:
+    """``key``, label, confidence: weights 1 / (d + EPSILON) summed by label, ties by label; the confidence falls with the least distance."""
+    by_label = found.groupBy(key, "label").agg(F.sum(1 / (F.col("distance") + EPSILON)).alias("weight"), F.min("distance").alias("least"))
+    best = by_label.groupBy(key).agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("label").alias("label"))).alias("x"), F.min("least").alias("least"))
+    return best.select(key, F.col("x.label").alias("label"), F.exp(-F.col("least") / scale).alias("confidence"))
 
 
 def label_medoids(vectors: DataFrame, k: int, choice: int = CHOICE) -> DataFrame:

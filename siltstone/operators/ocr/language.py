@@ -22,6 +22,9 @@ for _pair, _n in PAIRS:
     _rows[_pair[0]] = _rows.get(_pair[0], 0.0) + _n
 LOGS = {p: math.log((n + SMOOTH) / (_rows[p[0]] + SMOOTH * SYMBOLS)) for p, n in PAIRS}
 
+#: Words of a vocabulary that is sent to every task at most.
+WORDS = 1_000_000
+
 Candidates = list[tuple[str, float]]
 
 
@@ -56,6 +59,14 @@ class Vocabulary:
         return 0.0 if not last else WORD if last in self.words else BEGINNING if last in self.beginnings else 0.0
 
 
+def collected(words) -> Vocabulary:
+    """The vocabulary of a table (word) of checked size, as it goes to every task."""
+    found = [r.word for r in words.where("word is not null and word <> ''").distinct().limit(WORDS + 1).collect()]
+    if len(found) > WORDS:
+        raise ValueError(f"more than {WORDS} words: keep the frequent ones")
+    return Vocabulary(found)
+
+
 def beam(glyphs: list[Candidates], vocabulary: Vocabulary, width: int = BEAM) -> str:
     """As viterbi(), with the vocabulary's bonus at every character, over the ``width`` best texts."""
     held = [(0.0, "")]

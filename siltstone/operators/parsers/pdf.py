@@ -471,6 +471,33 @@ class Document:
         return out
 
 
+def pictures(data: bytes) -> list[bytes]:
+    """Embedded images as files: JPEG streams as they are, unpacked grey and RGB samples of eight bits as any-maps; each object once, in page order. A broken document has those of its readable pages."""
+    try:
+        doc = Document(repaired(data) or data, False)
+        pages = doc.pages()
+    except (Failure, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError, struct.error):
+        return []
+    out, seen = [], set()
+    for page in pages:
+        resources = doc.get(page.get("Resources"))
+        objects = doc.get(resources.get("XObject")) if isinstance(resources, dict) else None
+        for ref in objects.values() if isinstance(objects, dict) else ():
+            s = doc.get(ref)
+            if ref in seen or not isinstance(s, Stream) or s.info.get("Subtype") != "Image":
+                continue
+            seen.add(ref)
+            f = doc.get(s.info.get("Filter"))
+            if f == "DCTDecode" or f == ["DCTDecode"]:
+                out.append(s.raw)
+                continue
+            width, height, bits, space = (doc.get(s.info.get(k)) for k in ("Width", "Height", "BitsPerComponent", "ColorSpace"))
+            channels = {"DeviceGray": 1, "DeviceRGB": 3}.get(space if isinstance(space, str) else None)
+            if channels and bits == 8 and isinstance(width, int) and isinstance(height, int) and len(body := doc.decoded(s)) >= width * height * channels:
+                out.append(b"P%d\n%d %d\n255\n" % (5 if channels == 1 else 6, width, height) + body[: width * height * channels])
+    return out
+
+
 class _Say:
     """Decodes shown strings by the current font's map to Unicode, else as Windows-1252."""
 

@@ -14,26 +14,25 @@ from pyspark.sql.window import Window
 from .ocr import layout
 
 
-def _grid(boxes: DataFrame, reach: float = 0.0) -> float:
-    """Side of a cell: the largest side of a region, or what a region reaches."""
-    r = boxes.agg(F.max(F.greatest("w", "h")).alias("side"), F.max("h").alias("h")).first()
-    return float(max(1, r.side or 1, (r.side or 1) + reach * (r.h or 1)))
+def _with_side(boxes: DataFrame, reach: float = 0.0) -> DataFrame:
+    """The regions with ``side``, the side of a cell of their own image: the largest side of its regions, or what one of them reaches. An image with a giant region has large cells, others don't."""
+    sides = boxes.groupBy("image").agg(F.greatest(F.lit(1.0), F.max(F.greatest("w", "h")) + F.lit(reach) * F.max("h")).cast("double").alias("side"))
+    return boxes.join(sides, "image")
 
 
-def _cells(low: str, size: str, side: float):
-    return F.sequence(F.floor(F.col(low) / side), F.floor((F.col(low) + F.col(size) - 1) / side))
+def _cells(low: str, size: str):
+    return F.sequence(F.floor(F.col(low) / F.col("side")), F.floor((F.col(low) + F.col(size) - 1) / F.col("side")))
 
 
 def overlaps(boxes: DataFrame) -> DataFrame:
     """image, a, b (a < b), iou of the pairs of an image that overlap. A pair counts in the cell where its intersection begins, so none is found twice."""
-    side = _grid(boxes)
-    at = boxes.where("w > 0 and h > 0").withColumn("cx", F.explode(_cells("x", "w", side))).withColumn("cy", F.explode(_cells("y", "h", side)))
+    at = _with_side(boxes.where("w > 0 and h > 0")).withColumn("cx", F.explode(_cells("x", "w"))).withColumn("cy", F.explode(_cells("y", "h")))
     p, q = at.alias("p"), at.alias("q")
     found = p.join(q, (F.col("p.image") == F.col("q.image")) & (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & (F.col("p.id") < F.col("q.id")))
     left, top = F.greatest("p.x", "q.x"), F.greatest("p.y", "q.y")
     w = F.least(F.col("p.x") + F.col("p.w"), F.col("q.x") + F.col("q.w")) - left
     h = F.least(F.col("p.y") + F.col("p.h"), F.col("q.y") + F.col("q.h")) - top
-    here = (F.floor(left / side) == F.col("p.cx")) & (F.floor(top / side) == F.col("p.cy"))
+    here = (F.floor(left / F.col("p.side")) == F.col("p.cx")) & (F.floor(top / F.col("p.side")) == F.col("p.cy"))
     both = F.col("p.w") * F.col("p.h") + F.col("q.w") * F.col("q.h") - w * h
     return found.where((w > 0) & (h > 0) & here).select(F.col("p.image").alias("image"), F.col("p.id").alias("a"), F.col("q.id").alias("b"), (w * h / both).alias("iou"))
 
@@ -63,11 +62,16 @@ def suppressed(boxes: DataFrame, most: float) -> DataFrame:
     """image, id of the regions that stay, largest first, then by id. The regions of one image go to one task, as each decision rests on those before."""
 
     def keep(image, rows):
-        kept: list = []
-        for _, i, *box in sorted(rows, key=lambda r: (-r[4] * r[5], r[1])):
-            if all(layout.iou(k, box) <= most for _, k in kept):
-                kept.append((i, box))
-        return [(image, i) for i, _ in kept]
+        side = max([1, *(max(r[4], r[5]) for r in rows)])
+        cells: dict = {}  # kept regions by the cells that they touch, so that only near ones are compared
+        out = []
+        for _, i, x, y, w, h in sorted(rows, key=lambda r: (-r[4] * r[5], r[1])):
+            own = [(cx, cy) for cx in range(x // side, (x + max(w, 1) - 1) // side + 1) for cy in range(y // side, (y + max(h, 1) - 1) // side + 1)]
+            if all(layout.iou(k, (x, y, w, h)) <= most for c in own for k in cells.get(c, ())):
+                out.append((image, i))
+                for c in own:
+                    cells.setdefault(c, []).append((x, y, w, h))
+        return out
 
     return by_image(boxes, keep, "image long, id long")
 
@@ -78,11 +82,11 @@ def plausible(boxes: DataFrame, narrow: float, wide: float, low: int, high: int,
 
 def neighbour_counts(boxes: DataFrame, y_reach: float = 0.5, x_reach: float = 3.0, ratio: float = 0.5) -> DataFrame:
     """image, id, neighbours: how many regions of like height are near on the same line."""
-    side = _grid(boxes, max(x_reach, y_reach))
-    cell = lambda c, s: F.floor((F.col(c) + F.col(s) * 0.5) / side)
-    around = F.sequence(F.lit(-2), F.lit(2))
-    p = boxes.withColumn("cx", F.explode(F.transform(around, lambda k: cell("x", "w") + k))).withColumn("cy", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell("y", "h") + k))).alias("p")
-    q = boxes.withColumn("cx", cell("x", "w")).withColumn("cy", cell("y", "h")).alias("q")
+    sided = _with_side(boxes, max(x_reach, y_reach))  # centres of neighbours are no farther apart than that
+    cell = lambda c, s: F.floor((F.col(c) + F.col(s) * 0.5) / F.col("side"))
+    around = lambda c, s: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell(c, s) + k))
+    p = sided.withColumn("cx", around("x", "w")).withColumn("cy", around("y", "h")).alias("p")
+    q = sided.withColumn("cx", cell("x", "w")).withColumn("cy", cell("y", "h")).alias("q")
     c = F.col
     gap = F.greatest(c("q.x") - c("p.x") - c("p.w"), c("p.x") - c("q.x") - c("q.w"), F.lit(0))
     apart = F.abs((c("q.y") + c("q.h") * 0.5) - (c("p.y") + c("p.h") * 0.5))

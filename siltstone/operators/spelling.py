@@ -37,6 +37,25 @@ def corrections(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("n")).alias("rare"), "suggestion")).alias("x")).select("word", "x.suggestion", "x.distance")
 
 
+def corrected(rows: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """``key``, ``text``: texts whose words are in the vocabulary (word, n) or replaced by the nearest word of it.
+
+    A word is a run of letters; what stands around it stays, and so does its first
+    letter's case. Words without a near one, and all white space, stay as they are.
+    Each different word is corrected once; the table of corrections is joined by
+    word, however often that occurs, and texts come together again by their place.
+    """
+    known = vocabulary.select(F.lower("word").alias("word"), "n")
+    cut = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))).alias("pos", "piece")).withColumn("word", F.lower("piece"))
+    strange = cut.select("word").distinct().where(F.regexp_like("word", F.lit(r"^\p{L}"))).join(known, "word", "left_anti")
+    better = corrections(strange, known).select("word", "suggestion")
+    named = cut.join(better, "word", "left")
+    shown = F.when(F.col("suggestion").isNull(), F.col("piece")).when(F.regexp_like("piece", F.lit(r"^\p{Lu}")), F.concat(F.upper(F.substring("suggestion", 1, 1)), F.expr("substring(suggestion, 2)"))).otherwise(F.col("suggestion"))
+    whole = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("piece")))).alias("pieces"))
+    made = whole.select(F.col(key).alias("_key"), F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("_made"))
+    return rows.join(made, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("_made", text).alias(text))
+
+
 def bonus(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """word, bonus: 1 for a word of the vocabulary, 0.2 for a beginning of one, else 0."""
     known = vocabulary.select("word", F.lit(WORD).alias("worth"))

@@ -1,4 +1,8 @@
-"""Table functions: rows out of archives, sheets, slides, chunks and streams."""
+"""Table functions: rows out of archives, sheets, slides, chunks and streams.
+
+Bytes that can't be read, or break off, give the rows before that and one whose
+``error`` says so; all its other columns but a number are null.
+"""
 
 from __future__ import annotations
 
@@ -8,64 +12,71 @@ from .parsers import archives, media, office, pdf
 
 
 def _rows(read, data, *more):
-    """What a reader finds; nothing for bytes that it can't read."""
+    """(found, None) for all that a reader finds; if it breaks, what it has found so far and (None, error)."""
     if data is None:
         return
     try:
-        yield from read(bytes(data), *more)
-    except Exception:
-        return
+        for found in read(bytes(data), *more):
+            yield found, None
+    except Exception as e:
+        yield None, f"{type(e).__name__}: {e}"
 
 
-@udtf(returnType="ord int, path string, size bigint, compressed_size bigint, safe boolean")
+@udtf(returnType="ord int, path string, size bigint, compressed_size bigint, safe boolean, error string")
 class ZipEntries:
     def eval(self, data):
-        for k, (n, s, c) in enumerate(_rows(archives.zip_entries, data)):
-            yield k, n, s, c, archives.safe_path(n)
+        for k, (x, error) in enumerate(_rows(archives.zip_entries, data)):
+            yield (k, *x, archives.safe_path(x[0]), None) if x else (k, None, None, None, None, error)
 
 
-@udtf(returnType="ord int, path string, size bigint, modified string, safe boolean")
+@udtf(returnType="ord int, path string, size bigint, modified string, safe boolean, error string")
 class TarEntries:
     def eval(self, data):
-        for k, (n, s, t) in enumerate(_rows(archives.tar_entries, data)):
-            yield k, n, s, t, archives.safe_path(n)
+        for k, (x, error) in enumerate(_rows(archives.tar_entries, data)):
+            yield (k, *x, archives.safe_path(x[0]), None) if x else (k, None, None, None, None, error)
 
 
-@udtf(returnType="sheet string, row int, cells array<string>")
+@udtf(returnType="sheet string, row int, cells array<string>, error string")
 class SheetRows:
     def eval(self, data):
-        for name, rows in _rows(office.xlsx_sheets, data):
-            for k, r in enumerate(rows):
-                yield name, k, r
+        for x, error in _rows(office.xlsx_sheets, data):
+            if error:
+                yield None, None, None, error
+            else:
+                for k, r in enumerate(x[1]):
+                    yield x[0], k, r, None
 
 
-@udtf(returnType="slide int, text string, notes string")
+@udtf(returnType="slide int, text string, notes string, error string")
 class Slides:
     def eval(self, data):
-        for k, (t, n) in enumerate(_rows(office.pptx_slides, data), 1):
-            yield k, t, n
+        for k, (x, error) in enumerate(_rows(office.pptx_slides, data), 1):
+            yield (k, *x, None) if x else (k, None, None, error)
 
 
-@udtf(returnType="ord int, kind string, keyword string, text string")
+@udtf(returnType="ord int, kind string, keyword string, text string, error string")
 class PngTexts:
     def eval(self, data):
-        for k, (kind, key, t) in enumerate(_rows(media.png_texts, data)):
-            yield k, kind, key, t
+        for k, (x, error) in enumerate(_rows(media.png_texts, data)):
+            yield (k, *x, None) if x else (k, None, None, None, error)
 
 
-@udtf(returnType="ord int, length int, text string")
+@udtf(returnType="ord int, length int, text string, error string")
 class PdfStreams:
     def eval(self, data):
-        for k, s in enumerate(_rows(pdf.streams, data)):
+        for k, (s, error) in enumerate(_rows(pdf.streams, data)):
+            if error:
+                yield k, None, None, error
+                continue
             got = next((g for g in (f(s) for f in (pdf.inflate, pdf.lzw, pdf.ascii85, bytes)) if g and (b"Tj" in g or b"TJ" in g)), None)
-            yield k, len(s), pdf.content_text(got) if got else None
+            yield k, len(s), pdf.content_text(got) if got else None, None
 
 
-@udtf(returnType="ord int, image binary")
+@udtf(returnType="ord int, image binary, error string")
 class PdfImages:
     def eval(self, data):
-        for k, image in enumerate(_rows(lambda b: pdf.Document(b).images(), data)):
-            yield k, image
+        for k, (image, error) in enumerate(_rows(lambda b: pdf.Document(b).images(), data)):
+            yield k, image, error
 
 
 FUNCTIONS = {"zip_entries": ZipEntries, "tar_entries": TarEntries, "sheet_rows": SheetRows, "slides": Slides, "png_texts": PngTexts, "pdf_streams": PdfStreams, "pdf_images": PdfImages}

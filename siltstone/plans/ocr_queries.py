@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 from ..functions import scripts
 from ..operators import neighbours, regions, spelling
+from ..operators.extract import extract
 from ..operators.ocr import engine, glyphs, language
-from ..sources.packages import made
+from ..operators.schema import get
+from ..sources.packages import made, pdf_of_pixels, png_of_pixels
 from .detection_queries import table
 
 
@@ -32,14 +34,24 @@ def bigram_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(scripts.pair_score(F.col("text")), 6).alias("score"))
 
 
+def _found(spark, sf, k: int = 5):
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.exact(vectors, vectors.where("vec_id % 20 = 0"), k)
+
+
 def knn_topk(spark, sf):
-    """The three nearest label means of every vector."""
-    return neighbours.nearest(table(spark, sf, "embeddings"), neighbours.label_means(table(spark, sf, "embeddings")), 3).select("vec_id", "label", "rank", F.round("distance", 6).alias("distance"))
+    """The five nearest other vectors of every twentieth one."""
+    return _found(spark, sf).select("query_id", "vec_id", "label", "rank", F.round("distance", 6).alias("distance"))
 
 
 def knn_vote(spark, sf):
-    found = neighbours.nearest(table(spark, sf, "embeddings"), neighbours.label_means(table(spark, sf, "embeddings")), 3)
-    return neighbours.vote(found).select("vec_id", "label", F.round("confidence", 6).alias("confidence"))
+    """The label that these five give by weight."""
+    return neighbours.vote(_found(spark, sf), key="query_id").select("query_id", "label", F.round("confidence", 6).alias("confidence"))
+
+
+def prototype_topk(spark, sf):
+    """The three nearest label means of every vector."""
+    return neighbours.nearest(table(spark, sf, "embeddings"), neighbours.label_means(table(spark, sf, "embeddings")), 3).select("vec_id", "label", "rank", F.round("distance", 6).alias("distance"))
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,9 +108,16 @@ def _words(spark, sf, name="benchmark") -> DataFrame:
 
 
 def spell_lookup(spark, sf):
-    """Rare words of the test items and the nearest frequent one."""
+    """Words of the test items that aren't in the vocabulary, which is the words seen three times or more, and the nearest one that is."""
+    counted = _words(spark, sf).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling.corrections(counted.where("n < 3").select("word"), counted.where("n >= 3").select("word", "n"))
+
+
+def spell_text(spark, sf):
+    """First turns of conversations, each word that isn't in the vocabulary of the test items replaced by the nearest one that is."""
     counted = _words(spark, sf).groupBy("word").agg(F.count("*").alias("n"))
-    return spelling.corrections(counted.where("n = 1").select("word"), counted.where("n >= 3").select("word", "n"))
+    rows = table(spark, sf, "conversations").where("turn = 0").select("conv_id", "text")
+    return spelling.corrected(rows, "conv_id", "text", counted.where("n >= 3"))
 
 
 def dict_bonus(spark, sf):
@@ -107,7 +126,7 @@ def dict_bonus(spark, sf):
 
 
 def viterbi(spark, sf):
-    """The first line of each test item from candidates: each letter itself and the next one, which is farther."""
+    """The whole text of each test item from candidates: each letter itself and the next one, which is farther."""
 
     @F.pandas_udf("string")
     def best(texts: pd.Series) -> pd.Series:
@@ -117,12 +136,16 @@ def viterbi(spark, sf):
 
 
 def beam(spark, sf):
+    """As viterbi, with all words of all test items as the vocabulary."""
+    items = table(spark, sf, "benchmark")
+    known = language.collected(items.select(F.explode(F.split("text", r"\s+")).alias("word")))
+    sent = spark.sparkContext.broadcast(known)
+
     @F.pandas_udf("string")
     def best(texts: pd.Series) -> pd.Series:
-        known = language.Vocabulary([w for t in texts if t for w in t.split()])
-        return texts.map(lambda t: language.beam([[(c, 0.1), (chr(ord(c) + 1), 0.15)] for c in t], known), na_action="ignore")
+        return texts.map(lambda t: language.beam([[(c, 0.1), (chr(ord(c) + 1), 0.15)] for c in t], sent.value), na_action="ignore")
 
-    return table(spark, sf, "benchmark").select("item_id", best("text").alias("text"))
+    return items.select("item_id", best("text").alias("text"))
 
 
 def k_medoids(spark, sf):
@@ -144,11 +167,31 @@ def ocr_names(spark, sf):
     return engine.read_images(images, "image").select("n_nationkey", F.col("ocr.text").alias("text"), F.col("ocr.status").alias("status"), F.element_at(engine.as_metadata(F.col("ocr")), "ocr_applied").alias("applied"))
 
 
+def _drawn(spark, sf, build) -> DataFrame:
+    return table(spark, sf, "nation").select("n_nationkey", made(lambda n: build(glyphs.rendered(n)), F.col("n_name")).alias("content"))
+
+
+def _read(rows: DataFrame, mime: str) -> DataFrame:
+    m = F.col("metadata")
+    found = extract(rows.withColumn("hint", F.lit(mime)), "content", hint="hint", ocr=engine.configured({"siltstone.ocr": "classical"}.get))
+    return found.select("n_nationkey", "text", get(m, "ocr_status").alias("status"), get(m, "ocr_applied", "boolean").alias("applied"), (get(m, "ocr_confidence", "float") > 0.5).alias("sure"))
+
+
+def ocr_png(spark, sf):
+    """Names of nations drawn as PNG files and read by the image parser."""
+    return _read(_drawn(spark, sf, png_of_pixels), "image/png")
+
+
+def ocr_pdf(spark, sf):
+    """The same as images in PDF files without text."""
+    return _read(_drawn(spark, sf, pdf_of_pixels), "application/pdf")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        script_histogram, dominant_script, bigram_table, bigram_score, knn_topk, knn_vote, iou_pairs, nms, region_filter, neighbor_density, region_lines, line_gaps, stability_window, cv_filter,
-        content_dedup, spell_lookup, dict_bonus, viterbi, beam, k_medoids, k_means, feature_vector, ocr_names,
+        script_histogram, dominant_script, bigram_table, bigram_score, knn_topk, knn_vote, prototype_topk, iou_pairs, nms, region_filter, neighbor_density, region_lines, line_gaps, stability_window, cv_filter,
+        content_dedup, spell_lookup, spell_text, dict_bonus, viterbi, beam, k_medoids, k_means, feature_vector, ocr_names, ocr_png, ocr_pdf,
     )
 }
 
@@ -159,6 +202,7 @@ _SEEN = f"(SELECT doc_id, {_COUNTS}, CAST(length(regexp_replace(text, '[{scripts
 _LONG = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS script, {k} AS place, {s} AS n FROM s" for k, s in enumerate(scripts.CLASSES)) + f" UNION ALL SELECT doc_id, 'Other', 99, total - ({' + '.join(scripts.CLASSES)}) FROM s"
 _MEANS = "(SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
 _NEAR = f"(SELECT vec_id, m.label, list_distance(CAST(embedding AS DOUBLE[]), mean) AS d, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(CAST(embedding AS DOUBLE[]), mean), m.label) AS rank FROM embeddings, {_MEANS} m QUALIFY rank <= 3)"
+_KNN = "(SELECT q.vec_id AS query_id, r.vec_id, r.label, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), r.vec_id) AS rank FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id QUALIFY rank <= 5)"
 _BOX = "(SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, l_partkey % 40 AS x, l_suppkey % 20 AS y, 5 + CAST(l_quantity AS BIGINT) % 20 AS w, CAST(4 + l_linenumber * 3 % 9 AS BIGINT) AS h FROM lineitem)"
 _INTER = "greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y))"
 _WORDS = lambda t: f"(SELECT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM {t}) WHERE word <> '')"
@@ -171,8 +215,9 @@ ORACLE = {
     "bigram_score": f"""WITH t AS (SELECT doc_id, lower(text) AS s FROM documents), p AS (SELECT doc_id, s, unnest(range(1, greatest(length(s), 1))) AS i FROM t),
       g AS (SELECT doc_id, substr(s, CAST(i AS BIGINT), 1) AS a, substr(s, CAST(i AS BIGINT) + 1, 1) AS b, count(*) AS n FROM p GROUP BY ALL), x AS (SELECT doc_id, sum(n * coalesce(log_p, {language.FLOOR})) AS v FROM g LEFT JOIN {_LOGS} l ON l.before = a AND l.after = b GROUP BY doc_id)
       SELECT t.doc_id, CASE WHEN t.s IS NULL THEN NULL ELSE round(coalesce(v, 0) / greatest(length(s) - 1, 1), 6) END AS score FROM t LEFT JOIN x ON x.doc_id = t.doc_id""",
-    "knn_topk": f"SELECT vec_id, label, rank, round(d, 6) AS distance FROM {_NEAR}",
-    "knn_vote": f"SELECT vec_id, label, round(exp(-best), 6) AS confidence FROM (SELECT vec_id, label, sum(1 / (d + 0.001)) AS v, min(min(d)) OVER (PARTITION BY vec_id) AS best FROM {_NEAR} GROUP BY vec_id, label) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, label) = 1",
+    "knn_topk": f"SELECT query_id, vec_id, label, rank, round(d, 6) AS distance FROM {_KNN}",
+    "knn_vote": f"SELECT query_id, label, round(exp(-best), 6) AS confidence FROM (SELECT query_id, label, sum(1 / (d + 0.001)) AS v, min(min(d)) OVER (PARTITION BY query_id) AS best FROM {_KNN} GROUP BY query_id, label) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, label) = 1",
+    "prototype_topk": f"SELECT vec_id, label, rank, round(d, 6) AS distance FROM {_NEAR}",
     "iou_pairs": f"WITH b AS {_BOX}, x AS (SELECT p.image, p.id AS a, q.id AS b, {_INTER} AS n, p.w * p.h + q.w * q.h AS s FROM b p JOIN b q ON p.image = q.image AND p.id < q.id) SELECT image, a, b, round(CAST(n AS DOUBLE) / (s - n), 9) AS iou FROM x WHERE n > 0",
     "region_filter": f"SELECT image, id FROM {_BOX} WHERE CAST(w AS DOUBLE) / h BETWEEN 0.5 AND 4.0 AND h BETWEEN 5 AND 11 AND w * h >= 40",
     "neighbor_density": f"WITH b AS {_BOX} SELECT p.image, p.id, count(q.id) AS neighbours FROM b p LEFT JOIN b q ON p.image = q.image AND p.id <> q.id AND abs((q.y + q.h * 0.5) - (p.y + p.h * 0.5)) <= 0.5 * p.h AND CAST(q.h AS DOUBLE) / p.h BETWEEN 0.5 AND 2.0 AND greatest(q.x - p.x - p.w, p.x - q.x - q.w, 0) <= 3.0 * p.h GROUP BY p.image, p.id",
@@ -182,5 +227,7 @@ ORACLE = {
     "content_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",
     "dict_bonus": f"""WITH v AS (SELECT DISTINCT word FROM {_WORDS('benchmark')}), b AS (SELECT DISTINCT substr(word, 1, CAST(unnest(range(1, length(word))) AS BIGINT)) AS word FROM v)
       SELECT word, CASE WHEN word IN (SELECT word FROM v) THEN 1.0::DOUBLE WHEN word IN (SELECT word FROM b) THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM (SELECT DISTINCT word FROM {_WORDS('conversations')})""",
+    "ocr_png": "SELECT n_nationkey, replace(n_name, '_', '') AS text, 'recognized' AS status, true AS applied, true AS sure FROM nation",
+    "ocr_pdf": "SELECT n_nationkey, '[image 1 of 1]' || chr(10) || replace(n_name, '_', '') AS text, 'recognized' AS status, true AS applied, true AS sure FROM nation",
     "ocr_names": "SELECT n_nationkey, replace(n_name, '_', '') AS text, 'recognized' AS status, 'true' AS applied FROM nation",
 }

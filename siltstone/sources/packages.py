@@ -123,6 +123,23 @@ def png(width: int, height: int, texts: list[tuple[str, str, str]]) -> bytes:
     return out + chunk(b"IEND", b"")
 
 
+def png_of_pixels(img) -> bytes:
+    """A grey image of eight bits; the rows take turns at the five filters."""
+    import numpy as np
+
+    rows, above = [], np.zeros(img.shape[1], np.int64)
+    for y, row in enumerate(img.astype(np.int64)):
+        left, corner = np.r_[0, row[:-1]], np.r_[0, above[:-1]]
+        near = np.abs(np.stack([above - corner, left - corner, left + above - 2 * corner]))  # of left, above, corner
+        paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], above, corner))
+        guess = (0 * row, left, above, (left + above) // 2, paeth)[y % 5]
+        rows.append(bytes([y % 5]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+        above = row
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", img.shape[1], img.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+
+
 def png_of_part(key, name, brand, kind) -> bytes:
     return png(int(key) % 4096 + 1, int(key) % 100 + 1, [("tEXt", "Title", name), ("zTXt", "Brand", brand), ("iTXt", "Type", kind)])
 
@@ -186,6 +203,22 @@ def pdf(lines, title, packed=True, version="1.5") -> bytes:
     return out + table + b"trailer\n<< /Size %d /Root 1 0 R /Info 6 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
 
 
+def pdf_of_pixels(img) -> bytes:
+    """A page that shows one grey image and no text."""
+    body = zlib.compress(img.tobytes())
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+        b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /XObject << /Im1 5 0 R >> >> >>", b"<< /Length 30 >>\nstream\nq 200 0 0 50 72 700 cm /Im1 Do \nendstream",
+        b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (img.shape[1], img.shape[0], len(body), body),
+    ]
+    out, places = b"%PDF-1.4\n", []
+    for k, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (k, o)
+    table = b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return out + table + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
+
+
 def pdf_of_part(key, name, kind) -> bytes:
     """Of every third only the stream is left, which must be found by a scan."""
     data = pdf([name, kind], name, packed=key % 2 == 0)

@@ -63,7 +63,7 @@ def test_recognition_reads_its_own_glyphs():
     assert engine.recognise(glyphs.rendered("HELLO WORLD 42", 5))[0] == "HELLO WORLD 42"
     turned = np.rot90(glyphs.rendered("HELLO", 4), 1)
     assert engine.recognise(turned, engine.Config(turn=True))[0] == "HELLO"
-    assert engine.outcome(b"P5\n3 3\n255\nxx", engine.Config())["status"] == "failed" and engine.outcome(b"", engine.Config(enabled=False))["status"] == "disabled"
+    assert engine.outcome(b"P5\n3 3\n255\nxx", engine.Config())["status"] == "error" and engine.outcome(b"", engine.Config(enabled=False))["status"] == "disabled"
     assert glyphs.Prototypes.loaded(glyphs.bundled().saved()).names.tolist() == glyphs.bundled().names.tolist()
     assert all(len(glyphs.features(glyphs.bitmap(g))) == glyphs.SIZE for g in glyphs.GLYPHS) and [glyphs.holes(glyphs.bitmap(g)) for g in "8AC"] == [2, 1, 0]
 
