@@ -1,27 +1,34 @@
-"""Operator 2, language-model scoring by a hashed maximum-entropy model.
-
-Words fall into classes: the ``HEADS`` x ``SLOTS`` most frequent training words
-into head classes, by rank, all others into tail classes, by their last byte. The
-class of a word is a softmax over all classes, a word of a head class a softmax
-over the words of its class; a word of a tail class has its smoothed share of the
-class, where one unknown word of each class counts as seen once. So the
-probabilities of all words and of the unknown ones sum to one after any history.
-
-Both softmax layers add up rows of a hashed table, one for each feature of the
-history: the word before, the two words before together, and as a skip feature the
-second word before alone. Every task runs through its
-training texts in sparse numpy batches and makes gradient updates of its own copy
-(AdaGrad); the copies' changes are averaged by the tokens that they have seen.
-
-Words are counted over all training texts. Counts of the ``KNOWN`` most frequent
-words travel with the model; the others' are joined, as their number grows with
-the corpus.
+"""Operator 2, language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
+
+The ``KNOWN`` most frequent training words are outputs of their own; all other words,
+those never seen included, fall into ``KEYS`` outputs by their last two bytes, and a
+word has its smoothed share of its output, where one unknown word of each counts as
+seen once. Outputs fall into ``CLASSES`` by the company they keep: by how often each of
+the ``CONTEXTS`` most frequent words was the last such word before them (k-means over
+all training tokens). Within a class they form a tree of ever smaller classes,
+``WIDE`` to a node, frequent words near its top. An output's probability is the product
+of one softmax for each node on its way, so the probabilities of all words and of the
+unknown ones sum to one after any history.
+
+The scores of a softmax add up a row of a hashed table for each feature of the history
+and the node: the word before, the two words before together, and as a skip feature
+the last frequent word. Rare words and long histories thus share what the
+classes above them have learnt.
+
+Training is distributed: every learner runs through its texts in sparse numpy batches
+and makes AdaGrad updates of its own copy of the table, from the model that all share.
+A row's changes are merged by how much gradient each learner has seen in it: means
+where there was plenty, more where each saw little. A learner has ``LEARN`` tokens on
+average, however many cores there are.
+
+Words are counted over all training texts. Counts of the known words travel with the
+model; the others' are joined, as their number grows with the corpus.
 """
 
 from __future__ import annotations
 
+import heapq
 from itertools import chain, repeat
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,37 +38,42 @@ from pyspark.sql import functions as F
 from .common import bytes_of, crc_of_id, one_batch, removed, table, task_partition, tune, words, written
 
 FOLDS, HELD_OUT = 7, 2
-HEADS, SLOTS, TAILS, KNOWN = 24, 32, 16, 1 << 16
-#: Rows of each hashed table, features of a history, AdaGrad's step, tokens of a numpy batch.
-ROWS, FEATURES, STEP, BATCH = 1 << 14, 3, 1.0, 1 << 12
+#: Outputs: known words and keys of other words, 16 bits together. Outputs of a softmax.
+KEYS, WIDE = 1 << 10, 16
+KNOWN = (1 << 16) - KEYS
+CLASSES, CONTEXTS = 16, 64
+#: Rows of the hashed table, AdaGrad's step, tokens of a numpy batch, tokens of a learner, rounds that share a model.
+ROW_BITS, STEP, BATCH, LEARN, ROUNDS = 19, 1.0, 1 << 12, 1 << 21, 1
+ROWS = 1 << ROW_BITS
+#: Squared gradient of a row in one learner that counts as plenty; rows of the table, and outputs, that travel together.
+PLENTY, PIECE = 10.0, 1 << 10
 #: Shares of a step of the count that is too large to be taken whole.
 SHARES = 1 << 12
 END = b"\n"  # cannot be part of a word
+NONE = 1 << 16  # before the text
 LN10 = float(np.log(10))
 
 
+def key_of(word: bytes) -> int:
+    return (word[-1] * 40503 + (word[-2] if len(word) > 1 else 0) * 9973) % KEYS
+
+
 class Vocabulary:
-    """The most frequent training words: id is the rank. Other words get the id KNOWN + a number that their ends give."""
+    """The most frequent training words: id is the rank. Any other word has the id KNOWN + key_of()."""
 
     def __init__(self, ranked: list[tuple[bytes, int]], tokens: int, distinct: int, tails: np.ndarray):
+        """``tails``: tokens and distinct words of each key, over all words."""
         self.id = {w: k for k, (w, _) in enumerate(ranked)}
         self.count = np.array([n for _, n in ranked], dtype=np.int64)
         self.tokens, self.distinct = tokens, distinct
-        head = min(len(ranked), HEADS * SLOTS)
-        self.head = head
-        last = np.array([w[-1] % TAILS for w, _ in ranked], dtype=np.int64)
-        self.of_tail = np.r_[last, np.arange(256) % TAILS] if len(ranked) else np.arange(256) % TAILS
-        # Words and tokens of each tail class: those of all words, less those of head words.
-        taken = np.stack([np.bincount(last[:head], weights=self.count[:head], minlength=TAILS), np.bincount(last[:head], minlength=TAILS)]).astype(np.int64)
-        self.tail = tails - taken
+        own = np.array([key_of(w) for w, _ in ranked], dtype=np.int64)
+        self.tail = tails - np.stack([np.bincount(own, weights=self.count, minlength=KEYS), np.bincount(own, minlength=KEYS)]).astype(np.int64)
 
     def ids(self, ws: list[bytes]) -> np.ndarray:
-        get = self.id.get
-        return np.fromiter(map(get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
-
-    def classes(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Class of each token; head classes first."""
-        return np.where((ids >= 0) & (ids < self.head), ids // SLOTS, HEADS + last % TAILS)
+        out = np.fromiter(map(self.id.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
+        for k in np.flatnonzero(out < 0).tolist():
+            out[k] = KNOWN + key_of(ws[k])
+        return out.astype(np.uint16)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -70,155 +82,181 @@ def tokens_of(text: bytes) -> list[bytes]:
     return out
 
 
-def history(ids: np.ndarray, last: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashed features of each token's history, a row for each token; ``first`` is the place where the token's text begins."""
-    name = np.where(ids >= 0, ids, KNOWN + (last.astype(np.int64) & 255)).astype(np.uint64) + np.uint64(2)
-    place = np.arange(len(ids))
-    before = []
-    for k in range(1, 3):
-        w = np.ones(len(ids), dtype=np.uint64)  # 1: before the text
-        w[k:] = np.where(place[k:] - k >= first[k:], name[:-k], np.uint64(1))
-        before.append(w)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    raw = [before[0], before[0] * np.uint64(0x100000001B3) + before[1], before[1]]
-    out = np.empty((len(ids), FEATURES), dtype=np.uint64)
-    for k, r in enumerate(raw):
-        out[:, k] = ((r + np.uint64(k * 0xD6E8FEB86659FD93 % 2**64)) * mix) >> np.uint64(20)
-    return out
-
-
-class Layer:
-    """A softmax over ``width`` outputs whose scores are sums of hashed rows."""
-
-    def __init__(self, width: int, weights: np.ndarray | None = None, bias: np.ndarray | None = None):
-        self.width = width
-        self.weights = np.zeros((ROWS, width), dtype=np.float32) if weights is None else weights
-        self.bias = bias  # a row for each class of the layer
-        self.square = None
-
-    def exponentials(self, rows: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, held below overflow, and their exponentials."""
-        s = self.bias[which] if len(self.bias) > 1 else np.repeat(self.bias, len(rows), axis=0)
-        row = np.empty_like(s)
-        for k in range(rows.shape[1]):
-            np.take(self.weights, rows[:, k], axis=0, out=row, mode="clip")
-            s += row
-        np.minimum(s, 60, out=s)
-        return s, np.exp(s, out=row)
+def last_context(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """The last frequent word before each token in its text; NONE without one. ``first`` is where the token's text begins."""
+    at = np.where((ids < CONTEXTS) & (ids != end), np.arange(len(ids)), -1)
+    last = np.maximum.accumulate(np.concatenate([[-1], at[:-1]])) if len(ids) else at
+    return np.where(last >= first, ids[last].astype(np.int64), NONE)
+
+
+def history(ids: np.ndarray, first: np.ndarray, end: int) -> list[np.ndarray]:
+    """Hashed features of each token's history."""
+    place, before, wide = np.arange(len(ids)), [], ids.astype(np.uint32)
+    for k in (1, 2):
+        w = np.full(len(ids), NONE, dtype=np.uint32)
+        w[k:] = np.where(place[k:] - k >= first[k:], wide[:-k], np.uint32(NONE))
+        before.append(w + np.uint32(1))
+    skip = last_context(ids, first, end).astype(np.uint32) + np.uint32(1)
+    one, two = before
+    return [one * np.uint32(0x9E3779B1), (one * np.uint32(0x85EBCA77)) ^ (two * np.uint32(0xC2B2AE3D)) ^ np.uint32(0x27D4EB2F), skip * np.uint32(0x165667B1) ^ np.uint32(0x5BD1E995)]
+
+
+def tree(weights: np.ndarray) -> tuple[int, dict[int, list[int]]]:
+    """(root, children of each inner node): Huffman's tree with WIDE children to a node; leaves are 0 .. n - 1, inner nodes follow, -1 is nothing."""
+    n = len(weights)
+    heap = [(0.0, -1 - k) for k in range(-(n - 1) % (WIDE - 1))] + [(float(w), k) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    children: dict[int, list[int]] = {}
+    while len(heap) > 1:
+        group = [heapq.heappop(heap) for _ in range(WIDE)]
+        node = n + len(children)
+        children[node] = [max(k, -1) for _, k in group]
+        heapq.heappush(heap, (sum(w for w, _ in group), node))
+    return heap[0][1], children
+
+
+def company(counts: np.ndarray, classes: int = CLASSES, rounds: int = 25) -> np.ndarray:
+    """The class of each row of ``counts`` (outputs x contexts), by k-means on square roots of smoothed shares less those of all rows."""
+    n, total = counts.sum(axis=1).astype(np.float32), counts.sum(axis=0, dtype=np.float64)
+    mean = (total / max(1.0, total.sum())).astype(np.float32)
+    x = np.sqrt((counts + 2 * mean) / (n + 2)[:, None]) - np.sqrt(mean)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 1e-9
+    weight = np.minimum(n, 1000)
+    often = np.argsort(-n, kind="stable")[:2000]
+    chosen = [often[0]]
+    while len(chosen) < classes:  # the frequent row that is least like those chosen
+        chosen.append(often[(x[often] @ x[chosen].T).max(axis=1).argmin()])
+    centres = x[chosen]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([weight[own == k] @ x[own == k] for k in range(classes)])
+        size = np.sqrt(np.einsum("ij,ij->i", sums, sums))[:, None]
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-9), centres)
+    return (x @ centres.T).argmax(axis=1)
 
-    def log_likelihood(self, rows: np.ndarray, which: np.ndarray, target: np.ndarray) -> np.ndarray:
-        s, e = self.exponentials(rows, which)
-        return s[np.arange(len(s)), target].astype(np.float64) - np.log((e @ np.ones(self.width, dtype=np.float32)).astype(np.float64))
 
-    def update(self, rows: np.ndarray, which: np.ndarray, target: np.ndarray) -> None:
+class Model:
+    """Paths of outputs, biases from counts, and the hashed table."""
+
+    def __init__(self, vocabulary: Vocabulary, counts: np.ndarray):
+        """``counts``: how often each context came before each output."""
+        v = vocabulary
+        self.end = v.id.get(END, -1)
+        known = len(v.count)
+        self.outputs = np.r_[np.arange(known), KNOWN + np.arange(KEYS)]
+        weight = np.r_[v.count, v.tail[0] + 0.5].astype(np.float64)
+        own = company(counts[self.outputs])
+        paths: list[tuple] = [()] * len(weight)
+        nodes = 1  # node 0 has the classes as children
+        for c in range(CLASSES):
+            members = np.flatnonzero(own == c)
+            if len(members) < 2:
+                for k in members:
+                    paths[k] = ((0, c),)
+                continue
+            root, children = tree(weight[members])
+            held = [(root, ((0, c),))]
+            while held:
+                node, way = held.pop()
+                for j, child in enumerate(children[node]):
+                    step = (*way, (nodes + node - len(members), j))
+                    if child >= len(members):
+                        held.append((child, step))
+                    elif child >= 0:
+                        paths[members[child]] = step
+            nodes += len(children)
+        depth = np.array([len(p) for p in paths])
+        self.node = np.array([n for p in paths for n, _ in p], dtype=np.int32)
+        self.child = np.array([j for p in paths for _, j in p], dtype=np.int32)
+        mass = np.bincount(self.node * WIDE + self.child, weights=np.repeat(weight, depth), minlength=nodes * WIDE).reshape(-1, WIDE)
+        self.bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / np.maximum(mass.sum(axis=1, keepdims=True), 1e-9)), -60.0).astype(np.float32)
+        self.depth, self.start = np.zeros(NONE, dtype=np.int64), np.zeros(NONE, dtype=np.int64)
+        self.depth[self.outputs], self.start[self.outputs] = depth, np.cumsum(depth) - depth
+        self.hashed = self.node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.weights = np.zeros((ROWS, WIDE), dtype=np.float32)
+        self.square = np.ones(ROWS, dtype=np.float32)
+        self.ones = np.ones(WIDE, dtype=np.float32)
+        # What is known of each output besides its path: the logarithm of a known word's count and of what the words of a key share.
+        seen = np.zeros(NONE)
+        seen[:known] = np.log(v.count + 1.0)
+        self.seen = seen
+        self.shared = np.zeros(NONE)
+        self.shared[KNOWN:] = np.log(v.tail[0] + v.tail[1] + 1.0)
+        self.least = float(np.log(v.tokens + v.distinct + 1.0))
+
+    def _softmax(self, ids: np.ndarray, features: list[np.ndarray]):
+        """Of each node on the way of each token: token, path element, rows of the table, scores."""
+        size = self.depth[ids]
+        own = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        at = np.arange(len(own)) + np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
+        salt, rows = self.hashed[at], []
+        score = self.bias.take(self.node[at], axis=0)
+        for f in features:
+            h = (f[own] ^ salt) * np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0xC2B2AE35)
+            rows.append((h >> np.uint32(32 - ROW_BITS)).astype(np.int32))
+            score += self.weights.take(rows[-1], axis=0)
+        np.minimum(score, 60, out=score)
+        return own, at, rows, score
+
+    def learn(self, ids: np.ndarray, features: list[np.ndarray]) -> None:
         """One AdaGrad step of the batch's summed gradient."""
-        if self.square is None:
-            self.square = np.full(ROWS, 1.0, dtype=np.float32)
-        _, p = self.exponentials(rows, which)
-        p *= (-1 / (p @ np.ones(self.width, dtype=np.float32)))[:, None]
-        p[np.arange(len(p)), target] += 1
-        flat = rows.T.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        ordered = flat[order]
-        start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        summed = segment_sums(p.take(order % len(rows), axis=0), start)
-        used = ordered[start]
-        self.square[used] += np.einsum("ij,ij->i", summed, summed)
-        self.weights[used] += (STEP / np.sqrt(self.square[used]))[:, None] * summed
-
-
-def segment_sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each start to the next, adding neighbours in pairs until one is left."""
-    size = np.diff(np.r_[start, len(x)])
-    out, live = np.empty((len(start), x.shape[1]), dtype=x.dtype), np.arange(len(start))
-    while True:
-        one = size == 1
-        out[live[one]] = x[start[one]]
-        live, start, size = live[~one], start[~one], size[~one]
-        if not len(live):
-            return out
-        half = (size + 1) // 2
-        begin = np.cumsum(half) - half
-        left = np.repeat(start - 2 * begin, half) + 2 * np.arange(int(half.sum()))
-        pair = np.flatnonzero(left + 1 < np.repeat(start + size, half))
-        y = x.take(left, axis=0)
-        y[pair] += x.take(left[pair] + 1, axis=0)
-        x, start, size = y, begin, half
+        _, at, rows, p = self._softmax(ids, features)
+        np.exp(p, out=p)
+        p *= (-1 / (p @ self.ones))[:, None]
+        p.ravel()[np.arange(len(p)) * WIDE + self.child[at]] += 1
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            ordered = r[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            used = ordered[first]
+            summed = np.add.reduceat(p.take(order, axis=0), first, axis=0)
+            square = self.square[used] + np.einsum("ij,ij->i", summed, summed)
+            self.square[used] = square
+            summed *= (STEP / np.sqrt(square))[:, None]
+            self.weights[used] += summed
+
+    def log_likelihood(self, ids: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+        """Natural logarithm of each token's probability; that of a word that isn't known lacks its count."""
+        own, at, _, s = self._softmax(ids, features)
+        chosen = s.ravel()[np.arange(len(s)) * WIDE + self.child[at]].astype(np.float64)
+        np.exp(s, out=s)
+        return np.bincount(own, weights=chosen - np.log(s @ self.ones), minlength=len(ids)) - self.shared[ids]
+
+    def batches(self, texts: list[np.ndarray]):
+        """(ids, features) of the texts in batches. A batch begins with the whole history of its first token."""
+        size = np.array([len(t) for t in texts])
+        ids = np.concatenate(texts)
+        first = np.repeat(np.cumsum(size) - size, size)
+        features = history(ids, first, self.end)
+        for k in range(0, len(ids), BATCH):
+            yield ids[k : k + BATCH], [f[k : k + BATCH] for f in features]
 
+    def score(self, texts: list[np.ndarray]):
+        """Tokens, known words, base score and the model's of each text (as ids); both scores lack the counts of words that aren't known."""
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        log, ids = np.concatenate([self.log_likelihood(*b) for b in self.batches(texts)]), np.concatenate(texts)
+        sums = [np.bincount(owner, weights=w, minlength=len(texts)) for w in (self.seen[ids] - self.least, log)]
+        return np.bincount(owner, minlength=len(texts)), np.bincount(owner[ids < KNOWN], minlength=len(texts)), sums[0] / LN10, sums[1] / LN10
 
-class Model:
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = v = vocabulary
-        mass = np.r_[np.bincount(np.arange(v.head) // SLOTS, weights=v.count[: v.head], minlength=HEADS), v.tail[0]] + 0.5
-        within = np.zeros(HEADS * SLOTS)
-        within[: v.head] = v.count[: v.head]
-        within = within.reshape(HEADS, SLOTS)
-        bias = np.where(within > 0, np.log(np.maximum(within, 1)), -60.0)
-        self.classes = Layer(HEADS + TAILS, bias=np.log(mass / mass.sum()).astype(np.float32)[None, :])
-        self.words = Layer(SLOTS, bias=bias.astype(np.float32))
-
-    def batch(self, lists: list[list[bytes]]):
-        """What both layers need of a batch of texts: known id, class, slot and features of each token, and its text."""
-        size = np.array([len(x) for x in lists])
-        flat = list(chain.from_iterable(lists))
-        ids = self.vocabulary.ids(flat)
-        last = np.fromiter(map(itemgetter(-1), flat), dtype=np.int64, count=len(flat))
-        first = np.repeat(np.cumsum(size) - size, size)
-        kind = self.vocabulary.classes(ids, last)
-        raw = history(ids, last, first)
-        by_class = (raw & np.uint64(ROWS - 1)).astype(np.int64)
-        head = np.flatnonzero(kind < HEADS)
-        own = kind[head]
-        by_word = (((raw[head] ^ (own.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))[:, None]) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(30)).astype(np.int64) & (ROWS - 1)
-        return flat, ids, last, np.repeat(np.arange(len(lists)), size), kind, by_class, head, own, by_word
-
-    def learn(self, lists: list[list[bytes]]) -> None:
-        _, ids, _, _, kind, by_class, head, own, by_word = self.batch(lists)
-        self.classes.update(by_class, np.zeros(len(kind), dtype=np.int64), kind)
-        if len(head):
-            self.words.update(by_word, own, ids[head] % SLOTS)
-
-    def score(self, lists: list[list[bytes]]):
-        """For each text: tokens, known of the model's words, their base score and the model's; then the words that must be looked up, each with its text. Scores leave out the counts of the latter."""
-        v = self.vocabulary
-        flat, ids, last, text, kind, by_class, head, own, by_word = self.batch(lists)
-        log = self.classes.log_likelihood(by_class, np.zeros(len(kind), dtype=np.int64), kind)
-        if len(head):
-            log[head] += self.words.log_likelihood(by_word, own, ids[head] % SLOTS)
-        known = ids >= 0
-        count = np.zeros(len(ids))
-        count[known] = v.count[ids[known]]
-        seen = np.log(count + 1)
-        tail = kind >= HEADS
-        log[tail] += seen[tail] - np.log((v.tail[0] + v.tail[1] + 1.0)[kind[tail] - HEADS])
-        base = seen - np.log(v.tokens + v.distinct + 1.0)
-        n = len(lists)
-        far = np.flatnonzero(~known)
-        return (np.bincount(text, minlength=n), np.bincount(text[known], minlength=n), np.bincount(text, weights=base, minlength=n) / LN10, np.bincount(text, weights=log, minlength=n) / LN10), [flat[k] for k in far], text[far]
-
-
-def _chunks(texts, most: int = BATCH):
-    """Lists of token lists with about ``most`` tokens; a longer text comes in a chunk of its own."""
+
+def _groups(column: pa.Array, most: int = BATCH):
+    """Lists of texts (ids) with about ``most`` tokens; a longer text comes by itself."""
     held, size = [], 0
-    for t in texts:
-        ws = tokens_of(t)
-        if held and size + len(ws) > most:
+    for t in column:
+        ids = np.frombuffer(t.as_buffer(), "<u2")
+        if held and size + len(ids) > most:
             yield held
             held, size = [], 0
-        held.append(ws)
-        size += len(ws)
+        held.append(ids)
+        size += len(ids)
     if held:
         yield held
 
 
-def _parts(ws: list[bytes], most: int = 1 << 17):
-    """A long text in pieces, for bounded numpy batches. Only training uses it: a piece begins without a history."""
-    for k in range(0, len(ws), most):
-        yield ws[k : k + most]
-
-
 def counted(training: DataFrame) -> DataFrame:
-    """(word, last, n): how often each word occurs in ``training`` (text), ends included."""
+    """(word, n): how often each word occurs in ``training`` (text), ends included."""
     out = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
@@ -240,9 +278,10 @@ def counted(training: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """At most KNOWN words and a few sums come to the driver, however large the corpus."""
-    last = F.conv(F.substring(F.hex("word"), -2, 2), 16, 10).cast("int")
-    tails = np.zeros((2, TAILS), dtype=np.int64)
-    for r in counts.groupBy((last % TAILS).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+    two = F.conv(F.hex(F.substring("word", -2, 2)), 16, 10).cast("int")  # the last byte and, above it, the one before, if any
+    key = (two.bitwiseAND(255) * 40503 + F.shiftright(two, 8) * 9973) % KEYS
+    tails = np.zeros((2, KEYS), dtype=np.int64)
+    for r in counts.groupBy(key.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tails[:, r.k] += r.n, r.v
     # Whole steps of the count while they fit, then whole shares of the step that is cut, then words of one share: no task sends more than its part of them.
     step, share = F.floor(F.log2("n") * 64).cast("int"), F.pmod(F.xxhash64("word"), F.lit(SHARES)).cast("int")
@@ -266,49 +305,117 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(ranked, int(tails[0].sum()), int(tails[1].sum()), tails)
 
 
-def trained(training: DataFrame, v: Vocabulary) -> Model:
-    """The model after one round of distributed updates: every task learns from all its texts, and the changes are averaged by tokens."""
-    spark = training.sparkSession
-    model = Model(v)
-    sent = spark.sparkContext.broadcast(model)
-    piece = 64  # rows of a table that travel together
-    out = pa.schema([("layer", pa.int32()), ("piece", pa.int32()), ("tokens", pa.float64()), ("change", pa.binary())])
+def encoded(texts: DataFrame, v: Vocabulary) -> DataFrame:
+    """The texts (doc_id, held_out, text) as ids: row, doc_id, held_out, ids, and far, the words that aren't known.
 
-    def run(batches):
-        import copy
+    Rows without an id column are a task's counts of contexts before outputs, over
+    its training texts: piece, and counts in ``ids``.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(v)
+    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("piece", pa.int32()), ("ids", pa.binary()), ("far", pa.list_(pa.binary()))])
 
-        own = copy.deepcopy(sent.value)
-        seen = 0
+    def run(batches):
+        v, row = sent.value, task_partition() << 40
+        counts = np.zeros(NONE * CONTEXTS, dtype=np.uint32)
+        end = v.id.get(END, -1)
         for b in batches:
-            for lists in _chunks(t.as_py() for t in b.column(0)):
-                own_lists = [p for ws in lists for p in _parts(ws)] if len(lists) == 1 else lists
-                for group in ([x] for x in own_lists) if len(lists) == 1 else [own_lists]:
-                    own.learn(group)
-                seen += sum(map(len, lists))
-        if seen:
-            for k, layer in enumerate((own.classes, own.words)):
-                w = layer.weights.reshape(ROWS // piece, -1)
-                for j in np.flatnonzero(w.any(axis=1)):
-                    yield one_batch(out, layer=[k], piece=[int(j)], tokens=[float(seen)], change=[(w[j] * np.float32(seen)).astype("<f4").tobytes()])
-            yield one_batch(out, layer=[-1], piece=[0], tokens=[float(seen)], change=[b""])
+            if not b.num_rows:
+                continue
+            names, held = b.column(0).to_pylist(), b.column(1).to_pylist()
+            at = 0
+            while at < b.num_rows:
+                lists, size, start = [], 0, at
+                while at < b.num_rows and size < 16 * BATCH:
+                    lists.append(tokens_of(b.column(2)[at].as_py()))
+                    size += len(lists[-1])
+                    at += 1
+                flat = list(chain.from_iterable(lists))
+                ids = v.ids(flat)
+                ends = np.cumsum([len(x) for x in lists])
+                firsts = np.r_[0, ends[:-1]]
+                learnt = np.repeat(~np.array(held[start:at]), np.diff(np.r_[0, ends]))
+                context = last_context(ids, np.repeat(firsts, ends - firsts), end)
+                good = learnt & (context < NONE)
+                np.add.at(counts, ids[good].astype(np.int64) * CONTEXTS + context[good], np.uint32(1))
+                far = np.flatnonzero(ids >= KNOWN)
+                cut = np.searchsorted(far, np.r_[0, ends])
+                yield one_batch(
+                    out, row=np.arange(row, row + len(lists)), doc_id=names[start:at], held_out=held[start:at], piece=[None] * len(lists),
+                    ids=[ids[x:y].astype("<u2").tobytes() for x, y in zip(firsts, ends)], far=[[flat[k] for k in far[x:y]] for x, y in zip(cut, cut[1:])],
+                )
+                row += len(lists)
+        pieces = counts.reshape(-1, PIECE * CONTEXTS)
+        for k in np.flatnonzero(pieces.any(axis=1)):
+            yield one_batch(out, row=[None], doc_id=[None], held_out=[None], piece=[int(k)], ids=[pieces[k].astype("<u4").tobytes()], far=[None])
+
+    return texts.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, piece int, ids binary, far array<binary>")
+
+
+def contexts(coded: DataFrame) -> np.ndarray:
+    """Sums of all tasks' counts: outputs x CONTEXTS, whatever the number of texts."""
+    out = pa.schema([("piece", pa.int32()), ("ids", pa.binary())])
 
     def add(batches):
         total: dict = {}
         for b in batches:
-            for layer, j, n, change in zip(*(b.column(k).to_pylist() for k in range(4))):
-                held = total.setdefault((layer, j), [0.0, 0.0])
-                held[0] += n
-                held[1] = held[1] + np.frombuffer(change, "<f4").astype(np.float64)
-        for (layer, j), (n, change) in total.items():
-            yield one_batch(out, layer=[layer], piece=[j], tokens=[n], change=[change.astype("<f4").tobytes()])
-
-    ddl = "layer int, piece int, tokens double, change binary"
-    changes = training.select("text").mapInArrow(run, ddl).repartition("layer", "piece").mapInArrow(add, ddl).collect()
-    total = sum(r.tokens for r in changes if r.layer < 0) or 1.0
-    for r in changes:
-        if r.layer >= 0:
-            layer = (model.classes, model.words)[r.layer]
-            layer.weights.reshape(ROWS // piece, -1)[r.piece] = np.frombuffer(bytes(r.change), "<f4") / np.float32(total)
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(x, "<u4").astype(np.float32)
+        for k, x in total.items():
+            yield one_batch(out, piece=[k], ids=[x.astype("<f4").tobytes()])
+
+    counts = np.zeros((NONE // PIECE, PIECE * CONTEXTS), dtype=np.float32)
+    for r in coded.where("piece is not null").select("piece", "ids").repartition("piece").mapInArrow(add, "piece int, ids binary").toLocalIterator():
+        counts[r.piece] = np.frombuffer(bytes(r.ids), "<f4")
+    return counts.reshape(NONE, CONTEXTS)
+
+
+def trained(coded: DataFrame, model: Model, tokens: int, learners: int | None = None, rounds: int = ROUNDS) -> Model:
+    """The model after ``rounds`` of distributed updates, each over its share of the training texts of encoded(), all of them once."""
+    spark = coded.sparkSession
+    learners = learners or max(1, round(tokens / rounds / LEARN))
+    out = pa.schema([("piece", pa.int32()), ("change", pa.binary()), ("square", pa.binary())])
+    ddl = "piece int, change binary, square binary"
+
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+
+        def run(batches, sent=sent):
+            import copy
+
+            own = copy.copy(sent.value)
+            before = own.square
+            own.weights, own.square, seen = own.weights.copy(), own.square.copy(), False
+            for b in batches:
+                for texts in _groups(b.column(0)):
+                    for batch in own.batches(texts):
+                        own.learn(*batch)
+                    seen = True
+            if seen:
+                change = (own.weights - sent.value.weights).reshape(-1, PIECE * WIDE)
+                square = (own.square - before).reshape(-1, PIECE)
+                for j in np.flatnonzero(square.any(axis=1)):
+                    yield one_batch(out, piece=[int(j)], change=[np.clip(change[j], -6e4, 6e4).astype("<f2").tobytes()], square=[square[j].astype("<f4").tobytes()])
+
+        def merge(batches):
+            total: dict = {}
+            for b in batches:
+                for j, change, square in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    s = np.frombuffer(square, "<f4").astype(np.float64)
+                    moved, n, n2 = total.setdefault(j, [0.0, 0.0, 0.0])
+                    total[j] = [moved + np.frombuffer(change, "<f2").reshape(-1, WIDE) * s[:, None], n + s, n2 + s * s]
+            for j, (moved, n, n2) in total.items():
+                each = n2 / np.maximum(n, 1e-12)  # squared gradient of a learner, and of how many learners
+                many = np.maximum(n * n / np.maximum(n2, 1e-12), 1)
+                more = 1 + (np.sqrt(many) - 1) * PLENTY / (PLENTY + each)
+                yield one_batch(out, piece=[j], change=[(moved / np.maximum(n, 1e-12)[:, None] * more[:, None]).astype("<f4").tobytes()], square=[(each * more**2).astype("<f4").tobytes()])
+
+        mine = coded.where("piece is null and not held_out").where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).select("ids")
+        weights, square = model.weights.copy().reshape(-1, PIECE * WIDE), model.square.copy().reshape(-1, PIECE)
+        for r in mine.coalesce(learners).mapInArrow(run, ddl).repartition("piece").mapInArrow(merge, ddl).toLocalIterator():
+            weights[r.piece] += np.frombuffer(bytes(r.change), "<f4")
+            square[r.piece] += np.frombuffer(bytes(r.square), "<f4")
+        model.weights, model.square = weights.reshape(ROWS, WIDE), square.reshape(ROWS)
+        sent.unpersist()
     return model
 
 
@@ -324,28 +431,27 @@ def scored(docs: DataFrame) -> DataFrame:
     tune(spark)
     held = F.pmod(crc_of_id(), F.lit(FOLDS)) == HELD_OUT
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), bytes_of().alias("text"))
-    training = texts.where("not held_out")
-    counts = written(counted(training), "words")
+    counts = written(counted(texts.where("not held_out")), "words")
     v = vocabulary(counts)
-    model = trained(training, v)
+    coded = written(encoded(texts, v), "encoded")
+    model = trained(coded, Model(v, contexts(coded)), v.tokens)
+    model.square = None
     sent = spark.sparkContext.broadcast(model)
-    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("far", pa.list_(pa.binary()))])
+    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
-        row = task_partition() << 40
         for b in batches:
-            ids, held, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            for lists in _chunks(t.as_py() for t in b.column(2)):
-                n = len(lists)
-                (tokens, known, base, score), far, owner = sent.value.score(lists)
-                cut = np.searchsorted(owner, np.arange(n + 1))
-                yield one_batch(out, row=np.arange(row, row + n), doc_id=ids[at : at + n], held_out=held[at : at + n], n_tokens=tokens, n_known=known, base=base, score=score, far=[far[x:y] for x, y in zip(cut, cut[1:])])
-                row, at = row + n, at + n
-
-    rows = written(texts.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, far array<binary>"), "scored")
+            at = 0
+            for texts in _groups(b.column(3)):
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, n) for k in range(3)), *(pa.array(x) for x in sent.value.score(texts))], schema=out)
+                at += n
+
+    rows = coded.where("piece is null")
+    done = rows.select("row", "doc_id", "held_out", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     far = rows.select("row", F.explode("far").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
     more, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return rows.drop("far").join(far, "row", "left").select(
+    return done.join(far, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
     )
 

@@ -74,19 +74,98 @@ def test_language_model(docs, texts):
 
 
 def test_probabilities_sum_to_one(docs):
-    """Over all words that occur and one unknown word of each class, after any history."""
-    training = docs.selectExpr("cast(coalesce(text, '') as binary) as text")
-    counts = maxent.counted(training)
-    v = maxent.vocabulary(counts)
-    model = maxent.trained(training, v)
-    known = list(v.id) + [b"\xff" * 9 + bytes([c]) for c in range(200, 200 + maxent.TAILS)]
-    for history in ([], [b"the"], [b"the", b"and"]):
-        total = 0.0
-        base = model.score([history])[0][3][0] if history else 0.0
-        for k in range(0, len(known), 500):
-            part = known[k : k + 500]
-            total += (10 ** (model.score([history + [w] for w in part])[0][3] - base)).sum()
-        assert total == pytest.approx(1.0, abs=1e-3)
+    """Over all words that occur and one unknown word of each key, after any history."""
+    texts = docs.selectExpr("doc_id", "false as held_out", "cast(coalesce(text, '') as binary) as text")
+    v = maxent.vocabulary(maxent.counted(texts))
+    coded = maxent.encoded(texts, v)
+    model = maxent.trained(coded, maxent.Model(v, maxent.contexts(coded)), v.tokens)
+    assert v.distinct == len(v.id)
+    every = model.outputs.astype(np.uint16)
+    for before in ([], [b"the"], [b"the", b"and"]):
+        own = [np.r_[v.ids(before), w].astype(np.uint16) for w in every] if before else [np.array([w], np.uint16) for w in every]
+        log = np.concatenate([model.score(own[k : k + 2000])[3] for k in range(0, len(own), 2000)])
+        base = model.score([v.ids(before)])[3][0] if before else 0.0
+        assert (10 ** (log - base)).sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def slow_log_probability(model, ids) -> list[float]:
+    """Token by token, node by node, in plain Python numbers."""
+    out = []
+    u32 = lambda x: x & 0xFFFFFFFF
+    for k, w in enumerate(ids):
+        one, two = (ids[k - j] + 1 if k >= j else maxent.NONE + 1 for j in (1, 2))
+        skip = next((ids[j] + 1 for j in range(k - 1, -1, -1) if ids[j] < maxent.CONTEXTS and ids[j] != model.end), maxent.NONE + 1)
+        features = [u32(one * 0x9E3779B1), u32(one * 0x85EBCA77) ^ u32(two * 0xC2B2AE3D) ^ 0x27D4EB2F, u32(skip * 0x165667B1) ^ 0x5BD1E995]
+        log = -math.log(model.shared[w] and math.exp(model.shared[w]) or 1.0)
+        for at in range(model.start[w], model.start[w] + model.depth[w]):
+            node = int(model.node[at])
+            s = model.bias[node].astype(float)
+            for f in features:
+                h = u32((f ^ u32(node * 0x9E3779B1)) * 0x85EBCA6B)
+                h = u32((h ^ h >> 15) * 0xC2B2AE35)
+                s = s + model.weights[h >> 32 - maxent.ROW_BITS]
+            log += s[model.child[at]] - math.log(np.exp(s).sum())
+        out.append(log)
+    return out
+
+
+@pytest.fixture(scope="module")
+def coded(spark):
+    """The first 4,000 documents of the larger tables as ids, with their vocabulary, split and words."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    rows = pd.read_parquet(path).head(4000)
+    docs = spark.createDataFrame(rows[["doc_id", "text"]]).selectExpr("doc_id", f"pmod(crc32(cast(cast(doc_id as string) as binary)), {maxent.FOLDS}) = {maxent.HELD_OUT} as held_out", "cast(coalesce(text, '') as binary) as text")
+    v = maxent.vocabulary(maxent.counted(docs.where("not held_out")))
+    return rows, v, maxent.written(maxent.encoded(docs, v), "coded")
+
+
+def witten_bell(train: list[list[bytes]], test: list[list[bytes]]) -> float:
+    """Held-out log10 a token of a bigram model that backs off to the smoothed unigram."""
+    count, pairs, before, kinds = Counter(), Counter(), Counter(), Counter()
+    for ws in train:
+        count.update(ws)
+        for a, b in zip([b"", *ws], ws):
+            kinds[a] += (a, b) not in pairs
+            pairs[a, b] += 1
+            before[a] += 1
+    n, v = count.total(), len(count)
+    one = lambda w: (count[w] + 1) / (n + v + 1)
+    logs = [math.log10((pairs[a, b] + kinds[a] * one(b)) / (before[a] + kinds[a]) if before[a] else one(b)) for ws in test for a, b in zip([b"", *ws], ws)]
+    return sum(logs) / len(logs)
+
+
+def test_held_out_gain(coded):
+    """The model beats the unigram and a Witten-Bell bigram on held-out text, with one learner and with 32, and in several rounds."""
+    rows, v, table = coded
+    split = [maxent.tokens_of((t or "").encode()) for t in rows.text]
+    held = [zlib.crc32(str(i).encode()) % maxent.FOLDS == maxent.HELD_OUT for i in rows.doc_id]
+    test = [ws for ws, h in zip(split, held) if h]
+    bigram = witten_bell([ws for ws, h in zip(split, held) if not h], test)
+    counts = Counter(w for ws, h in zip(split, held) if not h for w in ws)
+    far = sum(math.log10(counts[w] + 1) for ws in test for w in ws if w not in v.id)
+    n = sum(map(len, test))
+    unigram = sum(math.log10((counts[w] + 1) / (v.tokens + v.distinct + 1)) for ws in test for w in ws) / n
+    contexts = maxent.contexts(table)
+    got = {}
+    for learners, rounds in ((1, 1), (32, 1), (32, 4)):
+        model = maxent.trained(table.repartition(learners, "row"), maxent.Model(v, contexts), v.tokens, learners, rounds)
+        got[learners, rounds] = (sum(model.score([v.ids(ws) for ws in test])[3]) + far) / n
+    print(f"unigram {unigram:.3f}, Witten-Bell {bigram:.3f}, model by (learners, rounds) {got}")
+    assert unigram < bigram - 0.2
+    assert got[1, 1] > bigram + 0.15 and min(got.values()) > bigram + 0.08
+    assert min(got.values()) > got[1, 1] - 0.15  # learners of 43,000 tokens each; LEARN is 50 times as much
+    some = [v.ids(ws)[:60] for ws in test[:8]]
+    slow = [sum(slow_log_probability(model, [int(x) for x in ids])) / math.log(10) for ids in some]
+    assert model.score(some)[3] == pytest.approx(slow, rel=1e-4)
+
+
+def test_long_text_keeps_its_history(coded):
+    """Batches of a long text score it as one batch does."""
+    rows, v, table = coded
+    model = maxent.trained(table, maxent.Model(v, maxent.contexts(table)), v.tokens)
+    ids = np.concatenate([v.ids(maxent.tokens_of((t or "").encode()))[:-1] for t in rows.text[:60]])
+    whole = model.log_likelihood(ids, maxent.history(ids, np.zeros(len(ids), int), model.end)).sum()
+    assert len(ids) > 3 * maxent.BATCH and model.score([ids])[3][0] * math.log(10) == pytest.approx(whole, rel=1e-6)
 
 
 # 3 ---------------------------------------------------------------------------
