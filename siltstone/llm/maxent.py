@@ -184,42 +184,56 @@ class Model:
         self.shared[KNOWN:] = np.log(v.tail[0] + v.tail[1] + 1.0)
         self.least = float(np.log(v.tokens + v.distinct + 1.0))
 
-    def _softmax(self, ids: np.ndarray, features: list[np.ndarray]):
-        """Of each node on the way of each token: token, path element, rows of the table, scores."""
+    def _way(self, ids: np.ndarray, features: list[np.ndarray]):
+        """The nodes on the ways of all tokens: token and path element of each, and its hash with each feature."""
         size = self.depth[ids]
         own = np.repeat(np.arange(len(ids), dtype=np.int32), size)
         at = np.arange(len(own)) + np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
         salt, rows = self.hashed[at], []
-        score = self.bias.take(self.node[at], axis=0)
         for f in features:
             h = (f[own] ^ salt) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(15)
             h *= np.uint32(0xC2B2AE35)
-            rows.append((h >> np.uint32(32 - ROW_BITS)).astype(np.int32))
-            score += self.weights.take(rows[-1], axis=0)
-        np.minimum(score, 60, out=score)
-        return own, at, rows, score
+            h >>= np.uint32(32 - ROW_BITS)
+            rows.append(h)
+        return own, at, rows
 
     def learn(self, ids: np.ndarray, features: list[np.ndarray]) -> None:
-        """One AdaGrad step of the batch's summed gradient."""
-        _, at, rows, p = self._softmax(ids, features)
+        """One AdaGrad step of the batch's summed gradient. Each row of the table is read and written once, in ascending order."""
+        _, at, rows = self._way(ids, features)
+        p = self.bias.take(self.node[at], axis=0)
+        held = []
+        for h in rows:
+            order = np.argsort(h.astype(np.uint16), kind="stable")  # by 16 bits, then by the others: radix sorts
+            order = order[np.argsort((h >> np.uint32(16)).astype(np.uint8)[order], kind="stable")]
+            ordered = h[order]
+            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            first = np.flatnonzero(new)
+            used = ordered[first].astype(np.int64)
+            weights = self.weights.take(used, axis=0)
+            place = np.empty(len(h), dtype=np.int32)
+            place[order] = np.cumsum(new, dtype=np.int32) - 1
+            p += weights.take(place, axis=0)
+            held.append((order, first, used, weights))
+        np.minimum(p, 60, out=p)
         np.exp(p, out=p)
         p *= (-1 / (p @ self.ones))[:, None]
         p.ravel()[np.arange(len(p)) * WIDE + self.child[at]] += 1
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            ordered = r[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            used = ordered[first]
+        for order, first, used, weights in held:
             summed = np.add.reduceat(p.take(order, axis=0), first, axis=0)
             square = self.square[used] + np.einsum("ij,ij->i", summed, summed)
             self.square[used] = square
             summed *= (STEP / np.sqrt(square))[:, None]
-            self.weights[used] += summed
+            weights += summed
+            self.weights[used] = weights
 
     def log_likelihood(self, ids: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
         """Natural logarithm of each token's probability; that of a word that isn't known lacks its count."""
-        own, at, _, s = self._softmax(ids, features)
+        own, at, rows = self._way(ids, features)
+        s = self.bias.take(self.node[at], axis=0)
+        for h in rows:
+            s += self.weights.take(h, axis=0)
+        np.minimum(s, 60, out=s)
         chosen = s.ravel()[np.arange(len(s)) * WIDE + self.child[at]].astype(np.float64)
         np.exp(s, out=s)
         return np.bincount(own, weights=chosen - np.log(s @ self.ones), minlength=len(ids)) - self.shared[ids]
@@ -449,7 +463,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     rows = coded.where("piece is null")
     done = rows.select("row", "doc_id", "held_out", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    far = rows.select("row", F.explode("far").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
+    far = rows.select("row", F.explode("far").alias("word")).join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
     more, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
     return done.join(far, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
