@@ -6,7 +6,7 @@ items: an item is retrieved if a passage holds at least ``THETA`` of its BM25
 mass. Passages are windows of twice the longest item, half overlapping, so every
 item that stands in a text lies wholly in one of its passages.
 
-Whole texts are filtered first, a vector operation for each text: the block-max
+Whole texts are filtered first by vector operations of bounded size: the block-max
 bound of each (passage, block of items), where terms that most items share count
 at their largest sum in the block. What passes goes through WAND with block-max
 skipping. Retrieved items are verified on the whole text by the coverage of their
@@ -16,6 +16,7 @@ words with shared five-word shingles, apart for question and answer.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,8 @@ QUESTION, ANSWER = 0.7, 0.5
 BLOCK, COMMON = 4, 0.03
 #: Bytes of test items that are indexed and broadcast at once. More items are taken in turn, in so many passes.
 INDEX_BYTES = 32 << 20
+#: Pairs of a term in a text and a block that are summed at once.
+PAIRS = 1 << 19
 EDGE = b".,;:!?\"'()[]{}<>*&%$#|-_"
 
 
@@ -73,18 +76,33 @@ class Index:
     shingles: list[np.ndarray] = field(default_factory=list)
 
 
-def build(items: list[tuple[object, bytes]]) -> Index:
+@dataclass
+class Statistics:
+    """What is counted over all items, whatever part of them an index holds."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: dict[bytes, int]  # items that hold each term
+
+
+def count(texts: list[bytes]) -> Statistics:
+    lists = [terms(t) for t in texts if t and t.split()]
+    return Statistics(len(lists), sum(map(len, lists)), max(map(len, lists), default=1), Counter(w for ws in lists for w in set(ws)))
+
+
+def build(items: list[tuple[object, bytes]], of_all: Statistics | None = None) -> Index:
+    """An index of ``items``, weighed by the statistics of all items."""
+    all_ = of_all or count([t for _, t in items])
     items = [(i, t) for i, t in items if t and t.split()]
     texts = [terms(t) for _, t in items]
     vocabulary: dict[bytes, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], dtype=np.int64) for ws in texts]
     n, v = len(items), len(vocabulary)
-    mean = np.mean([len(w) for w in words]) if n else 1
-    df = np.zeros(v)
-    for w in words:
-        df[np.unique(w)] += 1
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    common = (df > COMMON * n) if n >= 20 else np.zeros(v, dtype=bool)
+    mean = all_.words / max(1, all_.items)
+    df = np.array([all_.frequency[w] for w in vocabulary], dtype=float)
+    idf = np.log1p((all_.items - df + 0.5) / (df + 0.5))
+    common = df > max(1, COMMON * all_.items)
     lists: list[list[tuple[int, float]]] = [[] for _ in range(v)]
     blocks = -(-n // BLOCK)
     common_sum = np.zeros(blocks)
@@ -108,7 +126,7 @@ def build(items: list[tuple[object, bytes]]) -> Index:
         [(np.array([i for i, _ in f], dtype=np.int64), np.array([x for _, x in f])) for f in lists],
         np.array([max((x for _, x in f), default=0.0) for f in lists]), block_tops,
         (starts, np.array([b for r in rare for b, _ in r], dtype=np.int64), np.array([x for r in rare for _, x in r])),
-        common_sum, max((len(w) for w in words), default=1), [_shingles(w, min(SHINGLE, len(w))) for w in words],
+        common_sum, all_.longest, [_shingles(w, min(SHINGLE, len(w))) for w in words],
     )
 
 
@@ -169,23 +187,49 @@ def _passes(index: Index, query: np.ndarray, theta: float) -> bool:
     return bool((sums + index.common_sum >= theta - 1e-9).any())
 
 
+def _passing(index: Index, ids: np.ndarray, theta: float) -> np.ndarray:
+    """The passages of a text in some block of which the block-max bound reaches the threshold. A bounded number of (term, block) pairs is looked at at once, however long the text is."""
+    starts, blocks, bounds = index.rare
+    halves, wide = (len(ids) - 1) // index.half + 1, len(index.common_sum)
+    if (index.common_sum >= theta - 1e-9).any():
+        return np.arange(halves)  # common terms alone might do
+    at = np.flatnonzero(ids >= 0)
+    size = starts[ids[at] + 1] - starts[ids[at]]
+    pairs = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(at, np.arange(halves + 1) * index.half)]  # before each half
+    out, low = [], 0
+    while low < halves:
+        high = max(low + 2, int(np.searchsorted(pairs, pairs[low] + PAIRS, "right")) - 1)
+        own = at[np.searchsorted(at, low * index.half) : np.searchsorted(at, high * index.half)]
+        n = starts[ids[own] + 1] - starts[ids[own]]
+        take = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[ids[own]], n)
+        place = np.repeat(own // index.half - low, n)
+        # A passage is a half and the next one, so a pair counts in its own half's passage and in the one before.
+        keys = np.concatenate([place, place - 1]) * wide + np.tile(blocks[take], 2)
+        weight = np.tile(bounds[take], 2)
+        last = high - low - (high < halves)  # the last half of a part is the first of the next
+        if last * wide <= 1 << 14:
+            inside = (keys >= 0) & (keys < last * wide)
+            sums = np.bincount(keys[inside], weights=weight[inside], minlength=last * wide).reshape(last, wide)
+            good = np.flatnonzero((sums + index.common_sum >= theta - 1e-9).any(axis=1))
+        else:
+            inside = (keys >= 0) & (keys < last * wide)
+            used, which = np.unique(keys[inside], return_inverse=True)
+            enough = np.bincount(which, weights=weight[inside], minlength=len(used)) + index.common_sum[used % wide] >= theta - 1e-9
+            good = np.unique(used[enough] // wide)
+        out.append(low + good)
+        low = high - 1 if high < halves else halves
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 def search(index: Index, text: bytes, theta: float = THETA, memo: dict | None = None) -> list[tuple[int, float, float, float, float]]:
     """(item, score, overlap, question's, answer's) of the items that a text holds."""
     if not index.names:
         return []
     get = index.vocabulary.get
     ids = np.array([get(w, -1) for w in terms(text)], dtype=np.int64)
-    starts, blocks, bounds = index.rare
-    at = np.flatnonzero(ids >= 0)
-    if not len(at):
+    if not (ids >= 0).any():
         return []
-    known = ids[at]
-    size = starts[known + 1] - starts[known]
-    places = np.repeat(at // index.half, size)
-    take = np.arange(len(places)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[known], size)
-    wide, halves = len(index.common_sum), int(len(ids) // index.half) + 1
-    sums = np.bincount(places * wide + blocks[take], weights=bounds[take], minlength=(halves + 1) * wide).reshape(-1, wide)
-    passing = np.flatnonzero((sums[:-1] + sums[1:] + index.common_sum >= theta - 1e-9).any(axis=1))
+    passing = _passing(index, ids, theta)
     found: dict[int, float] = {}
     for w in passing:
         passage = ids[w * index.half : (w + 2) * index.half]
@@ -208,12 +252,25 @@ def search(index: Index, text: bytes, theta: float = THETA, memo: dict | None =
     return out
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """(terms, words): the distinct terms of each item (text) that has words, and how many words it has."""
+    out = pa.schema([("terms", pa.list_(pa.binary())), ("words", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            lists = [terms(t.as_py()) for t in b.column(0) if t.as_py().split()]
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(set(x)) for x in lists], pa.list_(pa.binary())), pa.array(list(map(len, lists)), pa.int64())], schema=out)
+
+    return items.select("text").mapInArrow(run, "terms array<binary>, words long")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap of every test item (``benchmark``: item_id, text) that a text of ``docs`` (doc_id, text) holds.
 
     Null and empty texts, of either table, hold nothing. Rows that repeat an id,
     and items that repeat a text, are all matched. Other columns are ignored.
-    No documents or no items give no rows.
+    No documents or no items give no rows. More items than fit an index are taken in
+    several passes over the documents, weighed by the statistics of all items.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -223,10 +280,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFr
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // INDEX_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of().alias("text"))
+    counted = _terms(items)
+    n, words, longest = counted.agg(F.count("*"), F.sum("words"), F.max("words")).first()
+    frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     parts = []
     for k in range(passes):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        sent = spark.sparkContext.broadcast(build(sorted(((r.item_id, bytes(r.text)) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        held = frequency if passes == 1 else frequency.join(_terms(part).select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+        of_all = Statistics(n, words or 0, longest or 1, {bytes(r.term): r.n for r in held.collect()})
+        own = sorted(((r.item_id, bytes(r.text)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        sent = spark.sparkContext.broadcast(build(own, of_all))
 
         def run(batches, sent=sent):
             index, memo = sent.value, {}

@@ -108,10 +108,13 @@ class Ranker:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, sample: int, seed: int) -> DataFrame:
-    """(text, label) of the labelled rows outside the held-out fold: all, or the ``sample`` of them with the least seeded hash."""
+    """(text, label, draw) of the labelled rows outside the held-out fold: all, or the ``sample`` of them with the least ``draw``, a seeded hash of id, label and text. Ids that are repeated, or have both labels, are rows of their own."""
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(folds)) != held_out)).select("doc_id", F.col(column).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "label").limit(sample)  # so few rows fit a broadcast
-    return docs.select("doc_id", bytes_of().alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    draw = F.xxhash64(F.lit(seed), "doc_id", "label", "text").alias("draw")
+    rows = docs.select("doc_id", bytes_of().alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", draw)
+    first = rows.select("draw").orderBy("draw").limit(sample + 1).collect()  # repeated ids may give more rows than labels
+    return rows if len(first) <= sample else rows.where(F.col("draw") < first[sample].draw)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
@@ -122,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([features(t.as_py()) for t in b.column(0)], pa.list_(pa.float64()))], schema=out)
 
-    rows = labelled(docs, labels, "quality", FOLDS, HELD_OUT, sample, SEED).select("doc_id", "text", "label")
-    got = rows.select("text", "label").mapInArrow(run, "label int, x array<double>").orderBy("label", "x").limit(4 * sample).collect()
+    rows = labelled(docs, labels, "quality", FOLDS, HELD_OUT, sample, SEED)
+    got = sorted(rows.select("text", "label").mapInArrow(run, "label int, x array<double>").collect(), key=lambda r: (r.label, r.x))
     x = np.array([r.x for r in got]) if got else np.zeros((0, 22))
     y = np.array([r.label for r in got], dtype=int)
     return Ranker(x, y) if len(got) else Ranker(np.zeros((1, 22)), np.ones(1, dtype=int))

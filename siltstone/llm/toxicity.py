@@ -9,9 +9,10 @@ single characters is one word ("s t u p i d").
 Sentences take their document's label; the word of a sentence that is judged most
 toxic stands for it, as in multiple-instance learning: train, choose each
 sentence's word anew, train again. Nyström landmarks are words of the training
-sentences. As the kernel is a scalar product of subsequence weights, the machine
-over landmarks folds into one table of weights by hashed subsequence, and a word
-is judged by summing its own subsequences, in numpy batches.
+sentences, and the machine's examples are the words that stand for labelled sentences.
+As the kernel is a scalar product of subsequence weights, the machine over landmarks
+folds into one table of weights by hashed subsequence, and a word is judged by summing
+its own subsequences, in numpy batches; each worker remembers words that it has judged.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from .common import bytes_of, crc_of_id, table, tune
 from .quality import labelled
 
 P, GAP, DECAY = 3, 2, 0.6
-#: Labelled documents to learn from at most (those of the least seeded hash), their words, and landmarks.
-SAMPLE, WORDS, LANDMARKS, SEED = 5_000, 12_000, 240, 8
+#: Labelled documents to learn from at most (those of the least seeded hash), their bytes together, their words, and landmarks.
+SAMPLE, BYTES, WORDS, LANDMARKS, SEED = 5_000, 32 << 20, 12_000, 240, 8
 #: Share of its documents that a suspect has from toxic ones at least, and rounds of training.
 LEAN, ROUNDS = 0.6, 3
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 TABLE = 1 << 21
+#: Words whose decisions a worker remembers.
+MEMO = 400_000
 #: Characters of a word that are judged at once; a longer one is cut into overlapping pieces.
 LONG, OVERLAP = 48, 16
 _STEPS = [(a, b) for a in range(1, GAP + 2) for b in range(1, GAP + 2)]
@@ -119,6 +122,7 @@ class Machine:
         self.curve = np.zeros(5)
         self.shift = 0.0
         self.constant: float | None = None
+        self.memo: dict[bytes, float] = {}
 
     def words(self, batch: list[str], step: int = 2048) -> np.ndarray:
         """The decision on each marked string."""
@@ -130,23 +134,27 @@ class Machine:
             out[own] = (self.weights[h] * w).sum(axis=1) / _norms(h, w)
         return out + self.bias
 
+    def remember(self, ws: set[bytes]) -> dict[bytes, float]:
+        """The decision on each word, the greatest over its strings; a word is judged once while it is remembered."""
+        if len(self.memo) + len(ws) > MEMO:
+            self.memo = {}
+        new = [w for w in ws if w not in self.memo]
+        parts = [strings(w) for w in new]
+        value = np.full(len(new), -2.0)
+        if new:
+            np.maximum.at(value, np.repeat(np.arange(len(new)), [len(p) for p in parts]), self.words([s for p in parts for s in p]))
+        self.memo |= zip(new, value.tolist())
+        return self.memo
+
     def judge(self, texts: list[bytes]) -> np.ndarray:
-        """[greatest decision, second, share and number of words above 0] of each text: each distinct word of the batch is judged once."""
+        """[greatest decision, second, share and number of words above 0] of each text."""
         lists = [tokens(t) for t in texts]
-        known = {w: k for k, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
-        pieces, owner = [], []
-        for k, w in enumerate(known):
-            for s in strings(w):
-                pieces.append(s)
-                owner.append(k)
-        value = np.full(len(known), -2.0)
-        if pieces:
-            np.maximum.at(value, owner, np.maximum(self.words(pieces), -2.0))
+        memo = self.remember({w for ws in lists for w in ws})
         out = np.full((len(texts), 4), -2.0)
         out[:, 2:] = 0
         for i, ws in enumerate(lists):
             if ws:
-                v = value[[known[w] for w in ws]]
+                v = np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws))
                 hot = int((v > 0).sum())
                 top = np.partition(v, -2)[-2:] if len(v) > 1 else np.array([-2.0, v[0]])
                 out[i] = top[1], top[0], hot / len(v), np.log1p(hot)
@@ -257,7 +265,7 @@ def learn(rows: list[tuple[bytes, int]], seed: int = SEED) -> Machine:
         for a, s in zip(root @ w, landmarks):
             h, v = subsequences([s])
             np.add.at(dense, h[0], a * v[0] / _norms(h, v)[0])
-        m.weights, m.bias = dense, bias
+        m.weights, m.bias, m.memo = dense, bias, {}
         # Each sentence's most toxic word stands for it: what stands for fine ones is learnt as such, what stands for toxic ones joins the insults.
         score = dict(zip(every, m.words(every)))
         chosen = [(labels[d], max(ws, key=score.__getitem__)) for d, ws in sentences]
@@ -282,9 +290,19 @@ def learn(rows: list[tuple[bytes, int]], seed: int = SEED) -> Machine:
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    rows = labelled(docs, labels, "toxic", FOLDS, HELD_OUT, sample, SEED).orderBy("doc_id", "label", "text").limit(sample).collect()
-    return learn([(bytes(r.text), r.label) for r in rows])
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> Machine:
+    """Learns from at most ``sample`` labelled rows and ``most`` bytes of text: rows by seeded hash, up to the first that doesn't fit."""
+    rows = labelled(docs, labels, "toxic", FOLDS, HELD_OUT, sample, SEED)
+    held, last = 0, None
+    for r in rows.select("draw", F.octet_length("text").cast("long").alias("size")).orderBy("draw", "size").collect():  # two numbers a row of the sample
+        held += r["size"]
+        if held > most:
+            break
+        last = r.draw
+    if last is None:
+        return learn([])
+    kept = rows.where(F.col("draw") <= last).orderBy("draw", "label", "text").limit(sample).collect()
+    return learn([(bytes(r.text), r.label) for r in kept])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

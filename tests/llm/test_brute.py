@@ -380,6 +380,41 @@ def test_wand_retrieves_all(sf):
         assert {i for i, _ in decontaminate.retrieve(index, query)} == set(np.flatnonzero(scores >= decontaminate.THETA - 1e-9).tolist())
 
 
+def test_several_passes_equal_one(spark, sf, docs, monkeypatch):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    key = lambda df: sorted((r.doc_id, r.item_id, round(r.score, 9), r.overlap) for r in df.collect())
+    once = key(decontaminate.leaks(docs, items))
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 3000)
+    assert key(decontaminate.leaks(docs, items)) == once and once
+
+
+def test_many_items_and_a_long_text(monkeypatch):
+    """20,000 items and a text of 200,000 words take bounded memory, and what is found doesn't depend on how much is looked at at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    name = [b"w%d" % k for k in range(30_000)]
+    items = [(k, b" ".join(name[int(x)] for x in rng.zipf(1.3, 30) % 30_000)) for k in range(20_000)]
+    index = decontaminate.build(items)
+    words = [name[int(x)] for x in rng.zipf(1.3, 200_000) % 30_000]
+    for k in (17, 4711, 19_999):
+        words[k * 9 : k * 9] = items[k][1].split()
+    text = b" ".join(words)
+    tracemalloc.start()
+    ids = np.array([index.vocabulary.get(w, -1) for w in decontaminate.terms(text)], dtype=np.int64)
+    passing = decontaminate._passing(index, ids, decontaminate.THETA)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    monkeypatch.setattr(decontaminate, "PAIRS", 1 << 30)
+    whole = 30_000 // index.half - 1  # passages that end before the cut
+    some = decontaminate._passing(index, ids[:30_000], decontaminate.THETA)
+    assert some[some < whole].tolist() == passing[passing < whole].tolist()
+    for k in (17, 4711, 19_999):
+        at = k * 9 // index.half
+        assert {at - 1, at, at + 1} & set(passing.tolist())
+
+
 # 9 ---------------------------------------------------------------------------
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 6), min_size=1, max_size=6), st.integers(0, 300))

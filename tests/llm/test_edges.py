@@ -106,3 +106,17 @@ def test_vectors(spark):
     got = [(r.query_id, r.neighbor_id, r.distance, r["rank"]) for r in topk.search(vectors, k=2).orderBy("query_id", "rank").collect()]
     assert got == [(20, 20, 0, 1), (20, 21, 0, 2), (80, 80, 0, 1), (80, 20, 1, 2)]
     assert topk.search(vectors.limit(0)).count() == 0
+
+
+def test_repeated_and_conflicting_labels(spark):
+    """An id with both labels, ids that many rows share, and a sample that is smaller than either: rows of their own, no label favoured."""
+    from siltstone.llm.quality import labelled
+
+    docs = spark.createDataFrame([(k % 50, f"text number {k} of the kind", "x") for k in range(2000)], "doc_id long, text string, draw string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(7, 0), (8, 1)], "doc_id long, toxic int")
+    every = labelled(docs, labels, "toxic", 3, 1, 10_000, 8).collect()
+    some = labelled(docs, labels, "toxic", 3, 1, 400, 8).collect()
+    assert len(some) == 400 and {(r.doc_id, r.text, r.label) for r in some} < {(r.doc_id, r.text, r.label) for r in every}
+    assert 0.3 < sum(r.label for r in some) / 400 < 0.7
+    assert toxicity.train(docs, labels, 400, 2000).score(toxicity.train(docs, labels, 400, 2000).judge([b"text"]))[0] >= 0
+    assert quality.quality(docs, labels.withColumnRenamed("toxic", "quality")).count() == 2000
