@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection_queries, format_queries, ocr_queries
+from . import detection_queries, format_queries, legacy_queries, ocr_queries
 
-MODULES = (detection_queries, format_queries, ocr_queries)
+MODULES = (detection_queries, format_queries, legacy_queries, ocr_queries)
 
 
 def queries() -> dict:

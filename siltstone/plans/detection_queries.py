@@ -191,12 +191,15 @@ for _m, _o, _p in SIGNATURES:
 _LINES = "(CASE WHEN {t} = '' THEN 0 ELSE length({t}) - length(replace({t}, chr(10), '')) + CASE WHEN ends_with({t}, chr(10)) THEN 0 ELSE 1 END END)"
 
 
+_ANY_OF = lambda *xs: "(" + " OR ".join(f"contains(t, '{x}')" for x in xs) + ")"
+_SIGNS = f"""(CASE WHEN contains(t, '{{') AND contains(t, '}}') AND contains(t, ':') THEN 1 ELSE 0 END + CASE WHEN {_ANY_OF('@import', '@media', '@charset', '@font-face', '@keyframes', '@supports')} THEN 1 ELSE 0 END
+      + CASE WHEN {_ANY_OF('color:', 'background:', 'margin:', 'padding:', 'font-', 'border:', 'width:', 'height:', 'display:', 'position:')} THEN 1 ELSE 0 END + CASE WHEN contains(t, ';') THEN 1 ELSE 0 END)"""
+
+
 def found_sql(source: str, key: str, text: str) -> str:
     """(key, mime_type, confidence, detected_by) of a text column."""
     magic = " ".join(f"WHEN substr(h, {2 * o + 1}, {len(p)}) = '{p.upper()}' THEN '{m}'" for m, o, p in _SHADOWED)
-    any_of = lambda *xs: "(" + " OR ".join(f"contains(t, '{x}')" for x in xs) + ")"
-    signs = f"""(CASE WHEN contains(t, '{{') AND contains(t, '}}') AND contains(t, ':') THEN 1 ELSE 0 END + CASE WHEN {any_of('@import', '@media', '@charset', '@font-face', '@keyframes', '@supports')} THEN 1 ELSE 0 END
-      + CASE WHEN {any_of('color:', 'background:', 'margin:', 'padding:', 'font-', 'border:', 'width:', 'height:', 'display:', 'position:')} THEN 1 ELSE 0 END + CASE WHEN contains(t, ';') THEN 1 ELSE 0 END)"""
+    signs = _SIGNS
     keys = key + ", " if key else ""
     return f"""SELECT {keys}COALESCE(m, CASE WHEN s = '' THEN 'application/octet-stream' WHEN j THEN 'application/json' WHEN x THEN CASE WHEN contains(t, '<?xml') THEN 'text/xml' WHEN contains(t, '<html') OR contains(t, '<HTML') THEN 'text/html' WHEN contains(t, '<svg') THEN 'image/svg+xml' ELSE 'text/xml' END
        WHEN c THEN 'text/css' WHEN v THEN 'text/csv' ELSE 'text/plain' END) AS mime_type,
@@ -260,6 +263,7 @@ ORACLE = {
     "xml_bomb_guard": "SELECT s_suppkey, s_suppkey % 20 > 10 AS bomb FROM supplier",
     "looks_like_text": """SELECT doc_id, length(text) > 0 AND len(regexp_extract_all(text, '[\\x20-\\x7E\\t\\n\\r]|[\\p{L}]')) >= length(text) * 0.6 AND regexp_matches(text, '[A-Za-z0-9]{4}') AS readable,
       length(text) >= 3 AND len(regexp_extract_all(text, '[A-Za-z]')) >= length(text) * 0.5 AS letters FROM documents""",
+    "css_signs": f"SELECT page_id, CAST({_SIGNS} AS INTEGER) AS signs, strlen(t) >= 10 AND {_SIGNS} >= 2 AS css FROM (SELECT page_id, regexp_replace(html, '^{_SPACE}|{_SPACE}$', '', 'g') AS t FROM pages)",
     "read_chunks": "SELECT doc_id, k AS chunk_no, substr(text, k * 1000 + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS k FROM documents WHERE length(text) > 0)",
     "sink_detection_text": f"SELECT page_id, 'MIME Type: ' || mime_type || chr(10) || 'Confidence: ' || printf('%.2f', confidence) || chr(10) || 'Detected By: ' || CASE detected_by WHEN 'magic_bytes' THEN 'MagicBytes' WHEN 'content_analysis' THEN 'ContentAnalysis' ELSE 'Unknown' END AS shown FROM ({found_sql('pages', 'page_id', 'html')})",
     "sink_detection_json": f"SELECT doc_id, '{{\"mime_type\":\"' || mime_type || '\",\"confidence\":' || confidence || ',\"detected_by\":\"' || detected_by || '\"}}' AS shown FROM ({found_sql('documents', 'doc_id', 'text')})",

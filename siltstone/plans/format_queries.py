@@ -12,7 +12,7 @@ from ..operators.extract import extract
 from ..operators.schema import get
 from ..sources import packages as p
 from . import sinks
-from .detection_queries import table
+from .detection_queries import _CHARSET, _LANG, table
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,5 +275,8 @@ ORACLE = {
     "pdf_text": "SELECT p_partkey, p_name || ' ' || p_type AS text, CASE WHEN p_partkey % 3 = 0 THEN 'raw_scan' ELSE 'strict' END AS pdf_parse_strategy, '1.5' AS pdf_version, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(1 AS BIGINT) END AS page_count, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS title FROM part",
     "pdf_streams": "SELECT p_partkey, 0 AS ord, p_name || ' ' || p_type AS text FROM part",
     "ole_printable_runs": "SELECT p_partkey, p_name || ' ' || p_type AS text, p_name || ' ' || p_type AS native_text FROM part",
+    "metadata_keys": f"""WITH k AS (SELECT {_CHARSET} <> '' AS charset, {_LANG} <> '' AS language, regexp_matches(html, '(?is)<title[^>]*>.*?</title>') AS title, {', '.join(f"regexp_matches(html, '(?i)<h{k}[\\s>]') AS heading_h{k}_count" for k in range(1, 7))} FROM pages)
+      SELECT key, n FROM (SELECT {', '.join(f"count(*) FILTER (WHERE {c}) AS {c}" for c in ('charset', 'language', 'title', *(f'heading_h{k}_count' for k in range(1, 7))))} FROM k) UNPIVOT (n FOR key IN (charset, language, title, {', '.join(f'heading_h{k}_count' for k in range(1, 7))})) WHERE n > 0""",
+    "sink_json": """SELECT r_regionkey, '{"mime_type":"text/plain","detection_confidence":1.0,"metadata":{"fields":{"character_count":{"Number":' || (length(r_name) + 2) || '},"encoding":{"Text":"UTF-8"},"line_count":{"Number":2}}},"content":"' || r_name || '\\nx"}' AS shown FROM region""",
     "sink_text": "SELECT r_regionkey, 'MIME Type: text/plain' || chr(10) || 'Detection Confidence: 1.00' || chr(10) || chr(10) || 'Metadata:' || chr(10) || '  character_count: ' || (length(r_name) + 2) || chr(10) || '  encoding: UTF-8' || chr(10) || '  line_count: 2' || chr(10) || chr(10) || 'Content:' || chr(10) || r_name || chr(10) || 'x' || chr(10) AS shown FROM region",
 }

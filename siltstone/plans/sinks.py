@@ -1,8 +1,7 @@
-"""Text, JSON and YAML forms of results, as columns; write them with the usual writers."""
+"""Text, JSON and YAML forms of results, as native columns; write them with the usual writers."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,25 +32,40 @@ def _external(v: Column) -> Column:
 def json(mime: Column, confidence: Column, metadata: Column, content: Column, metadata_only: bool = False) -> Column:
     entries = F.array_sort(F.transform(F.map_entries(metadata), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit("\0"), _external(e["value"]))))
     fields = F.transform(entries, lambda s: F.concat(F.regexp_extract(s, "(?s)^\\[(.*)\\]\0", 1), F.lit(":"), F.regexp_extract(s, "(?s)\0(.*)$", 1)))
-    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
-    parts = [F.lit('{"mime_type":'), quoted(mime), F.lit(',"detection_confidence":'), confidence.cast("string"), F.lit(',"metadata":{"fields":{'), F.array_join(fields, ","), F.lit("}}")]
+    parts = [F.lit('{"mime_type":'), _quoted(mime), F.lit(',"detection_confidence":'), confidence.cast("string"), F.lit(',"metadata":{"fields":{'), F.array_join(fields, ","), F.lit("}}")]
     if not metadata_only:
-        parts += [F.lit(',"content":'), F.coalesce(quoted(content), F.lit("null"))]
+        parts += [F.lit(',"content":'), F.coalesce(_quoted(content), F.lit("null"))]
     return F.concat(*parts, F.lit("}"))
 
 
-def yaml(json_text: Column) -> Column:
-    """YAML of a JSON text."""
+def _quoted(x: Column) -> Column:
+    """A text as a JSON string, which is a double-quoted scalar of YAML as well."""
+    return F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        import json as j
 
-        import yaml as y
+def _block(v: Column) -> Column:
+    """A metadata value with its kind as the only key, as YAML below a field."""
+    one = lambda kind, x: F.concat(F.lit(f"{kind}: "), x)
+    items = F.concat(F.lit("List:\n"), F.array_join(F.transform(v["list"], lambda s: F.concat(F.lit("      - Text: "), _quoted(s))), "\n"))
+    return (
+        F.when(v["tag"] == "text", one("Text", _quoted(v["text"]))).when(v["tag"] == "number", one("Number", v["number"].cast("string"))).when(v["tag"] == "float", one("Float", v["float"].cast("string")))
+        .when(v["tag"] == "boolean", one("Boolean", v["boolean"].cast("string"))).when(v["tag"] == "datetime", one("DateTime", _quoted(F.date_format(v["datetime"], "yyyy-MM-dd'T'HH:mm:ss'Z'"))))
+        .otherwise(F.when(F.size(v["list"]) > 0, items).otherwise("List: []"))
+    )
+
+
+def yaml(mime: Column, confidence: Column, metadata: Column, content: Column, metadata_only: bool = False) -> Column:
+    """The same fields as json() as a block of YAML; fields in order of their names."""
+    entries = F.array_sort(F.map_entries(metadata), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    fields = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("    "), _quoted(e["key"]), F.lit(":\n      "), _block(e["value"]))), "\n")
+    parts = [F.lit("mime_type: "), _quoted(mime), F.lit("\ndetection_confidence: "), confidence.cast("string"), F.lit("\nmetadata:\n  fields:"), F.when(F.size(metadata) > 0, F.concat(F.lit("\n"), fields)).otherwise(" {}"), F.lit("\n")]
+    if not metadata_only:
+        parts += [F.lit("content: "), F.coalesce(_quoted(content), F.lit("null")), F.lit("\n")]
+    return F.concat(*parts)
 
-        return s.map(lambda t: y.safe_dump(j.loads(t), sort_keys=False, allow_unicode=True), na_action="ignore")
 
-    return run(json_text)
+def detection_yaml(found: Column) -> Column:
+    return F.concat(F.lit("mime_type: "), _quoted(found["mime_type"]), F.lit("\nconfidence: "), found["confidence"].cast("string"), F.lit("\ndetected_by: "), found["detected_by"], F.lit("\n"))
 
 
 _SHOWN = {"magic_bytes": "MagicBytes", "content_analysis": "ContentAnalysis", "extension": "Extension", "unknown": "Unknown"}

@@ -184,11 +184,12 @@ def id3(title, artist, genre, year, track) -> bytes:
     return b"ID3\3\0\0" + bytes((size >> s) & 127 for s in (21, 14, 7, 0)) + body
 
 
-def pdf(lines, title, packed=True, version="1.5") -> bytes:
-    """One page that shows each line, with a cross-reference table."""
+def pdf(lines, title, packed=True, version="1.5", pack=None) -> bytes:
+    """One page that shows each line, with a cross-reference table. ``pack`` gives the stream and its filter from the page's content."""
     said = lambda t: t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
     content = " ".join(f"BT /F1 12 Tf 72 {720 - 20 * k} Td ({said(t)}) Tj ET" for k, t in enumerate(lines)).encode("latin-1", "replace")
     stream, how = (zlib.compress(content), b" /Filter /FlateDecode") if packed else (content, b"")
+    stream, how = pack(content) if pack else (stream, how)
     objects = [
         b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
         b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>",
@@ -219,6 +220,111 @@ def pdf_of_pixels(img) -> bytes:
     return out + table + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
 
 
+def ole_file(streams: dict[str, bytes]) -> bytes:
+    """A compound file of version 3: a header, one table of sectors, a directory, and each stream in sectors of its own."""
+    size, tables = 512, 1
+    names = ["Root Entry", *streams]
+    listing = -(-len(names) // 4)
+    bodies = [body.ljust(4096, b"\0") for body in streams.values()]  # long enough to stand outside the small streams
+    fat, starts, at = [0xFFFFFFFD], [], tables + listing
+    fat += [k + 2 for k in range(listing - 1)] + [0xFFFFFFFE]
+    for body in bodies:
+        n = -(-len(body) // size)
+        starts.append(at)
+        fat += [at + k + 1 for k in range(n - 1)] + [0xFFFFFFFE]
+        at += n
+    if len(fat) > size // 4:
+        raise ValueError("too large for one table of sectors")
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6)
+    head += struct.pack("<IIIIIIIII", 0, tables, tables, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    entries = b""
+    for k, name in enumerate(names):
+        text = name.encode("utf-16-le") + b"\0\0"
+        kind, start, length = (5, 0xFFFFFFFE, 0) if not k else (2, starts[k - 1], len(bodies[k - 1]))
+        entries += text.ljust(64, b"\0") + struct.pack("<HBBIII", len(text), kind, 1, 0xFFFFFFFF, k + 1 if 0 < k < len(names) - 1 else 0xFFFFFFFF, 1 if not k and streams else 0xFFFFFFFF) + bytes(36) + struct.pack("<III", start, length, 0)
+    free = bytes(66) + bytes(2) + b"\xff" * 12 + bytes(48)
+    entries += free * (listing * 4 - len(names))
+    table = struct.pack(f"<{len(fat)}I", *fat).ljust(size, b"\xff")
+    return head + table + entries + b"".join(body.ljust(-(-len(body) // size) * size, b"\0") for body in bodies)
+
+
+def xls(sheet, rows) -> bytes:
+    """A workbook of one sheet: numbers, whole numbers, truths and shared strings; a text in a cell of its own where it begins a row."""
+    record = lambda kind, body=b"": struct.pack("<HH", kind, len(body)) + body
+    text = lambda t, count="<H": struct.pack(count, len(t)) + (b"\0" + t.encode("latin-1") if all(c < "\u0100" for c in t) else b"\1" + t.encode("utf-16-le"))
+    shared: list[str] = []
+    cells = b""
+    for r, row in enumerate(rows):
+        for c, v in enumerate(row):
+            head = struct.pack("<HHH", r, c, 0)
+            if isinstance(v, bool):
+                cells += record(0x205, head + bytes([v, 0]))
+            elif isinstance(v, int):
+                cells += record(0x27E, head + struct.pack("<I", v << 2 & 0xFFFFFFFF | 2))
+            elif isinstance(v, float):
+                cells += record(0x203, head + struct.pack("<d", v))
+            elif c == 0:
+                cells += record(0x204, head + text(v))
+            else:
+                if v not in shared:
+                    shared.append(v)
+                cells += record(0xFD, head + struct.pack("<I", shared.index(v)))
+    begin = record(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
+    strings = record(0xFC, struct.pack("<II", len(shared), len(shared)) + b"".join(map(text, shared)))
+    bound = lambda at: record(0x85, struct.pack("<IBB", at, 0, 0) + text(sheet, "<B"))
+    start = len(begin) + len(bound(0)) + len(strings) + 4
+    sheet_of = record(0x809, struct.pack("<HHHHII", 0x600, 16, 0, 0, 0, 0)) + cells + record(0x0A)
+    return ole_file({"Workbook": begin + bound(start) + strings + record(0x0A) + sheet_of})
+
+
+def xls_of_part(key, name, brand, size, price) -> bytes:
+    return xls("Parts", [["key", "name", "size", "large", "price"], [str(name), str(brand), int(size), bool(int(size) > 25), float(price)], [str(int(key)), str(name), -int(size), False, float(int(price))]])
+
+
+def lzw_packed(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
+    table = {bytes([k]): k for k in range(256)}
+    out, held, bits, width, word = bytearray(), 0, 0, 9, b""
+
+    def put(code: int):
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+        held &= (1 << bits) - 1
+
+    put(256)
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if word + c in table:
+            word += c
+            continue
+        put(table[word])
+        table[word + c] = len(table) + 2
+        if len(table) + 2 in (512, 1024, 2048):
+            width += 1
+        if len(table) + 2 == 4094:
+            put(256)
+            table, width = {bytes([k]): k for k in range(256)}, 9
+        word = c
+    if word:
+        put(table[word])
+        if len(table) + 3 in (512, 1024, 2048):  # a reader adds an entry for this code as well
+            width += 1
+    put(257)
+    return bytes(out + bytes([held << (8 - bits) & 255] if bits else []))
+
+
+def pdf_packed(key, name, kind) -> bytes:
+    """The text stream packed by LZW, as base-85 digits, or both, in turn."""
+    import base64
+
+    digits = lambda b: base64.a85encode(b) + b"~>"
+    packs = (lambda c: (lzw_packed(c), b" /Filter /LZWDecode"), lambda c: (digits(c), b" /Filter /ASCII85Decode"), lambda c: (digits(lzw_packed(c)), b" /Filter [/ASCII85Decode /LZWDecode]"))
+    return pdf([name, kind], name, pack=packs[int(key) % 3])
+
+
 def pdf_of_part(key, name, kind) -> bytes:
     """Of every third only the stream is left, which must be found by a scan."""
     data = pdf([name, kind], name, packed=key % 2 == 0)
