@@ -11,8 +11,8 @@ verified at once.
 
 Equal codes are one: of each, the k smallest ids are kept, made in every task
 before any row moves. Codes are dealt into shards and queries into blocks, both of
-bounded size; each pair is a task of its own, and the k best of each query are
-merged.
+bounded size; each pair is a group of its own, whose queries are searched together,
+and a query carries its k-th distance from round to round.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import one_batch, table, tune, written
+from .common import one_batch, removed, table, tune, written
 
 K, BITS, EVERY = 10, 64, 20
 #: Codes of a shard and queries of a block at most; shards that a small table is dealt into.
 SHARD, QUERIES, SPREAD = 1 << 17, 1 << 14, 16
+#: Pairs of a query and a code that are held in memory at once.
+CELLS = 1 << 22
 #: Tasks that the pairs are dealt to at most; more pairs are done in turn.
 TASKS = 20_000
 
@@ -102,86 +104,103 @@ class Shard:
     def segment(x, a: int, b: int):
         return ((x >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
 
-    def search(self, query: int, k: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) of the codes that hold the k nearest ids, ties included; ``sizes`` is how many ids each code has."""
-        q = np.uint64(query)
-        n = len(self.codes)
-        seen = np.zeros(n, dtype=bool)
-        places, near = [], []
-        at = np.zeros(BITS + 1, dtype=np.int64)  # ids at each distance
-
-        def verify(new: np.ndarray):
-            seen[new] = True
-            d = np.bitwise_count(self.codes[new] ^ q)
-            np.add.at(at, d, sizes[new])
-            places.append(new)
-            near.append(d)
+    def search(self, queries: np.ndarray, k: int, sizes: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, distance) of the codes that hold the k ids nearest to each query, ties included, but none beyond its ``bound``; ``sizes`` is how many ids each code has."""
+        step = max(1, CELLS // max(1, len(self.codes)))
+        parts = [self._some(queries[lo : lo + step], k, sizes, bound[lo : lo + step], lo) for lo in range(0, len(queries), step)]
+        return tuple(np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, np.int64) for j in range(3))
+
+    def _some(self, queries: np.ndarray, k: int, sizes: np.ndarray, bound: np.ndarray, first: int):
+        """A bounded number of queries at once, each until its k-th distance, or its bound, is within what has been covered."""
+        n, live = len(self.codes), np.arange(len(queries))
+        seen = np.zeros((len(queries), n), dtype=bool)
+        at = np.zeros((len(queries), BITS + 1), dtype=np.int64)  # ids at each distance
+        found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+
+        def verify(q: np.ndarray, p: np.ndarray):
+            seen[q, p] = True
+            d = np.bitwise_count(self.codes[p] ^ queries[q]).astype(np.int64)
+            np.add.at(at, (q, d), sizes[p])
+            found.append((q, p, d))
 
         for r in range(BITS + 1):
             for s, (a, b, order, value) in enumerate(self.segments):
-                if r > b - a:
+                if r > b - a or not len(live):
                     continue
-                probe = masks(b - a, r) if len(self.codes) else np.zeros(0, np.int64)
+                probe = masks(b - a, r) if n else np.zeros(0, np.int64)
                 if len(probe) * 2 > n:
-                    verify(np.flatnonzero(~seen))
-                    return self._done(places, near, at, k)
-                own = self.segment(q, a, b) ^ probe
+                    q, p = np.nonzero(~seen[live])
+                    verify(live[q], p)
+                    live = live[:0]
+                    continue
+                own = (self.segment(queries[live], a, b)[:, None] ^ probe).ravel()
                 lo, hi = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
                 size = hi - lo
-                hit = size > 0
-                lo, size = lo[hit], size[hit]
-                new = order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-                new = new[~seen[new]]
-                if len(new):
-                    verify(new)
-                if np.cumsum(at)[min(self.m * r + s, BITS)] >= k:
-                    return self._done(places, near, at, k)
-        return self._done(places, near, at, k)
-
-    @staticmethod
-    def _done(places, near, at, k):
-        p = np.concatenate(places) if places else np.zeros(0, np.int64)
-        d = np.concatenate(near) if near else np.zeros(0, np.uint8)
-        far = int(np.searchsorted(np.cumsum(at), k))  # the k-th distance, if there are so many
-        return p[d <= far], d[d <= far].astype(np.int64)
+                p = order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                q = np.repeat(np.repeat(live, len(probe)), size)
+                new = ~seen[q, p]
+                if new.any():
+                    verify(q[new], p[new])
+                covered = min(self.m * r + s, BITS)
+                live = live[(at[live, : covered + 1].sum(axis=1) < k) & (covered < bound[live])]
+        q, p, d = (np.concatenate([f[j] for f in found]) for j in range(3))
+        sums = np.cumsum(at, axis=1)
+        far = np.minimum(np.where(sums[:, -1] >= k, (sums < k).sum(axis=1), BITS), bound)  # the k-th distance, if there are so many
+        near = d <= far[q]
+        return q[near] + first, p[near], d[near]
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """query_id, neighbor_id, distance, rank: the k rows (id, code) nearest to each query (id, code), ties by id. A query that is a row itself finds itself."""
+    """query_id, neighbor_id, distance, rank: the k rows (id, code) nearest to each query (id, code), ties by id. A query that is a row itself finds itself.
+
+    Queries of one code are one. Each begins at a shard of its own and visits the
+    others in rounds, as many in each round as before it; its k-th distance so far
+    goes with it as a bound, so that a round returns about as many rows as the first.
+    Rows and queries without an id or code aren't given; repeated ones count once.
+    No rows, or no queries, give no rows.
+    """
     held = written(least_ids(rows, k), "codes")
-    asked = written(queries.distinct(), "queries")
+    every = written(queries.distinct(), "queries")
+    asked = every.select("code").distinct()
     n, q = held.count(), asked.count()
     shards, blocks = max(min(SPREAD, -(-n // 500)), -(-n // shard), 1), max(1, -(-q // block))
     own = F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")
     left = held.select(own.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "code", "id")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "code", "id")
+    start = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(shards))
 
     def find(codes: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "neighbor_id", "distance")})
+        names = ("code", "neighbor_id", "distance")
         if not len(codes) or not len(asks):
-            return none
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
         codes = codes.sort_values(["code", "id"])
         distinct, start, sizes = np.unique(codes.code.to_numpy(), return_index=True, return_counts=True)
-        ids = codes.id.to_numpy()
-        index = Shard(distinct.view(np.uint64))
-        out, memo = [], {}
-        for code, query in zip(asks.code.to_numpy(), asks.id.to_numpy()):
-            got = memo.get(code)
-            if got is None:
-                places, near = index.search(int(np.int64(code).view(np.uint64)), k, sizes)
-                who = np.concatenate([ids[start[p] : start[p] + sizes[p]] for p in places])
-                far = np.repeat(near, sizes[places])
-                best = np.lexsort((who, far))[:k]
-                got = memo[code] = (who[best], far[best])
-            out.append((np.full(len(got[0]), query), *got))
-        return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "neighbor_id", "distance"))})
+        ids, asked = codes.id.to_numpy(), asks.code.to_numpy()
+        which, place, far = Shard(distinct.view(np.uint64)).search(asked.view(np.uint64), k, sizes, asks.bound.to_numpy())
+        many = sizes[place]
+        who = ids[np.repeat(start[place] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        which, far = np.repeat(which, many), np.repeat(far, many)
+        order = np.lexsort((who, far, which))
+        which, who, far = which[order], who[order], far[order]
+        rank = np.arange(len(which)) - np.searchsorted(which, which)
+        return pd.DataFrame(dict(zip(names, (x[rank < k] for x in (asked[which], who, far)))))
 
     # So many partitions as there are pairs: left to itself, a small input would be merged into one task, though its work isn't small.
     tasks = min(shards * blocks, TASKS)
-    left, right = left.repartition(tasks, "shard", "block"), right.repartition(tasks, "shard", "block")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(find, "query_id long, neighbor_id long, distance long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbor_id", "distance", F.col("rank").cast("long").alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("code").orderBy("distance", "neighbor_id"))
+    best, done = None, 0
+    while done < shards:
+        end = min(shards, max(1, 2 * done))
+        known = asked.withColumn("bound", F.lit(BITS)) if best is None else asked.join(best.where(F.col("rank") == k).select("code", F.col("distance").alias("bound")), "code", "left").withColumn("bound", F.coalesce("bound", F.lit(BITS)))
+        right = known.select("code", F.col("bound").cast("long").alias("bound"), F.pmod(F.xxhash64("code", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(done), F.lit(end - 1))).alias("step"))
+        right = right.select(F.pmod(start + F.col("step"), F.lit(shards)).cast("int").alias("shard"), "block", "code", "bound")
+        pair = (left.repartition(tasks, "shard", "block").groupBy("shard", "block"), right.repartition(tasks, "shard", "block").groupBy("shard", "block"))
+        found = pair[0].cogroup(pair[1]).applyInPandas(find, "code long, neighbor_id long, distance long")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        old, best = best, written(found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k), "best")
+        if old is not None:
+            removed(old)
+        done = end
+    return every.join(best, "code").select(F.col("id").alias("query_id"), "neighbor_id", "distance", "rank")
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
