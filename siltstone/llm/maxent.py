@@ -28,7 +28,7 @@ model; the others' are joined, as their number grows with the corpus.
 from __future__ import annotations
 
 import heapq
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ KEYS, WIDE = 1 << 10, 16
 KNOWN = (1 << 16) - KEYS
 CLASSES, CONTEXTS = 16, 64
 #: Rows of the hashed table, AdaGrad's step, tokens of a numpy batch, tokens of a learner, rounds that share a model.
-ROW_BITS, STEP, BATCH, LEARN, ROUNDS = 19, 1.0, 1 << 12, 1 << 21, 1
+ROW_BITS, STEP, BATCH, LEARN, ROUNDS = 19, 1.0, 1 << 12, 1 << 22, 1
 ROWS = 1 << ROW_BITS
 #: Squared gradient of a row in one learner that counts as plenty; rows of the table, and outputs, that travel together.
 PLENTY, PIECE = 10.0, 1 << 10
@@ -58,22 +58,26 @@ def key_of(word: bytes) -> int:
     return (word[-1] * 40503 + (word[-2] if len(word) > 1 else 0) * 9973) % KEYS
 
 
+class Ids(dict):
+    """Ids of known words; KNOWN + key_of() for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return KNOWN + key_of(word)
+
+
 class Vocabulary:
-    """The most frequent training words: id is the rank. Any other word has the id KNOWN + key_of()."""
+    """The most frequent training words: id is the rank."""
 
     def __init__(self, ranked: list[tuple[bytes, int]], tokens: int, distinct: int, tails: np.ndarray):
         """``tails``: tokens and distinct words of each key, over all words."""
-        self.id = {w: k for k, (w, _) in enumerate(ranked)}
+        self.id = Ids((w, k) for k, (w, _) in enumerate(ranked))
         self.count = np.array([n for _, n in ranked], dtype=np.int64)
         self.tokens, self.distinct = tokens, distinct
         own = np.array([key_of(w) for w, _ in ranked], dtype=np.int64)
         self.tail = tails - np.stack([np.bincount(own, weights=self.count, minlength=KEYS), np.bincount(own, minlength=KEYS)]).astype(np.int64)
 
     def ids(self, ws: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.id.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
-        for k in np.flatnonzero(out < 0).tolist():
-            out[k] = KNOWN + key_of(ws[k])
-        return out.astype(np.uint16)
+        return np.fromiter(map(self.id.__getitem__, ws), dtype=np.uint16, count=len(ws))
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -202,14 +206,14 @@ class Model:
         """One AdaGrad step of the batch's summed gradient. Each row of the table is read and written once, in ascending order."""
         _, at, rows = self._way(ids, features)
         p = self.bias.take(self.node[at], axis=0)
-        held = []
+        held, places = [], np.arange(len(at), dtype=np.uint64)
         for h in rows:
-            order = np.argsort(h.astype(np.uint16), kind="stable")  # by 16 bits, then by the others: radix sorts
-            order = order[np.argsort((h >> np.uint32(16)).astype(np.uint8)[order], kind="stable")]
-            ordered = h[order]
+            packed = h.astype(np.uint64) << np.uint64(32) | places  # row and place in one number: one sort of plain numbers
+            packed.sort()
+            order, ordered = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), (packed >> np.uint64(32)).astype(np.int64)
             new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
             first = np.flatnonzero(new)
-            used = ordered[first].astype(np.int64)
+            used = ordered[first]
             weights = self.weights.take(used, axis=0)
             place = np.empty(len(h), dtype=np.int32)
             place[order] = np.cumsum(new, dtype=np.int32) - 1
@@ -352,10 +356,11 @@ def encoded(texts: DataFrame, v: Vocabulary) -> DataFrame:
                 good = learnt & (context < NONE)
                 np.add.at(counts, ids[good].astype(np.int64) * CONTEXTS + context[good], np.uint32(1))
                 far = np.flatnonzero(ids >= KNOWN)
-                cut = np.searchsorted(far, np.r_[0, ends])
+                cut = np.searchsorted(far, np.r_[0, ends]).tolist()
+                strange = [flat[k] for k in far.tolist()]
                 yield one_batch(
                     out, row=np.arange(row, row + len(lists)), doc_id=names[start:at], held_out=held[start:at], piece=[None] * len(lists),
-                    ids=[ids[x:y].astype("<u2").tobytes() for x, y in zip(firsts, ends)], far=[[flat[k] for k in far[x:y]] for x, y in zip(cut, cut[1:])],
+                    ids=[ids[x:y].astype("<u2").tobytes() for x, y in zip(firsts, ends)], far=[strange[x:y] for x, y in zip(cut, cut[1:])],
                 )
                 row += len(lists)
         pieces = counts.reshape(-1, PIECE * CONTEXTS)
