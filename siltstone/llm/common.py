@@ -67,6 +67,19 @@ def clean_up(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def joined_by(rows: DataFrame, classes: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``classes`` (key, count, ...), a row for each key with the number of ``rows`` that have it.
+
+    Keys with more than an eighth of a partition's share are sent to every task, so
+    that their rows stay where they are; there are eight to a partition at most.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = (classes.agg(F.sum(count)).first()[0] or 0) / (8 * partitions)
+    hot, cold = classes.where(F.col(count) > most).drop(count), classes.where(F.col(count) <= most).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def crc_of_id(doc_id: str | Column = "doc_id") -> Column:
     """Unsigned crc32 of the id as text; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -305,7 +305,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFr
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, with all their columns; those with a null id are judged by their text as well."""
+    """The documents without a leak, with all their columns.
+
+    All rows of an id go if one of them leaks; rows with a null id are judged by their
+    own text. Null and empty texts stay. No items, or no documents, change nothing.
+    """
     from .common import written
 
     named = docs.where("doc_id is not null")

@@ -66,8 +66,9 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         more = min(counts[s] - take[s], max(0, left - DP_WORDS // 2) // s)
         take[s] += more
         left -= more * s
-    for s in sorted(counts):  # give back a few of each, so that there is room for an exact sum
-        back = min(take[s], 2, max(0, DP_WORDS - left) // s)
+    share = max(0, DP_WORDS - left) // len(counts)
+    for s in sorted(counts):  # give back a share of each, all of it where the budget is small, so that there is room for an exact sum
+        back = min(take[s], max(2, share // s), max(0, DP_WORDS - left) // s)
         take[s] -= back
         left += back * s
     reach, steps = 1, []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc_of_id, table, tune
+from .common import bytes_of, crc_of_id, table, tune, written
 
 #: Labelled rows to learn from at most (those of the least seeded hash), and pairs.
 SAMPLE, PAIRS, SEED = 20_000, 60_000, 5
@@ -112,7 +112,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_o
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(folds)) != held_out)).select("doc_id", F.col(column).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "label").limit(sample)  # so few rows fit a broadcast
     draw = F.xxhash64(F.lit(seed), "doc_id", "label", "text").alias("draw")
-    rows = docs.select("doc_id", bytes_of().alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", draw)
+    rows = written(docs.select("doc_id", bytes_of().alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", draw), "labelled")  # documents are read once for it
     first = rows.select("draw").orderBy("draw").limit(sample + 1).collect()  # repeated ids may give more rows than labels
     return rows if len(first) <= sample else rows.where(F.col("draw") < first[sample].draw)
 
@@ -161,7 +161,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good, with all their columns."""
+    """The documents predicted to be good, with all their columns. Nulls, repeated rows, empty texts and tables as in quality(); rows of one text are judged alike, and with labels of one kind only that kind is predicted."""
     tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 

@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, one_batch, removed, sorted_groups, tune, words, written
+from .common import bytes_of, joined_by, one_batch, removed, sorted_groups, tune, words, written
 from .components import components
 
 BITS, SEED, SHINGLE, TAU = 64, 42, 4, 4
 #: Rows of a bucket that one task compares with one another.
 BLOCK = 2048
-#: Cost of a shuffled key, in verified pairs.
-KEY_COST = 150.0
+#: Cost of a shuffled key, in verified pairs; bits whose values are counted together.
+KEY_COST, COUNTED = 150.0, 12
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -98,22 +98,76 @@ def bit_partitions(n: int, ones: np.ndarray, both: np.ndarray, m: int) -> list[l
     return groups
 
 
-def choose_plan(n: int, ones: np.ndarray, both: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition that is probed: the cheapest over numbers of partitions and, by dynamic programming, over thresholds."""
-    p = np.clip(ones / max(n, 1), 0.02, 0.98)
-    differ = 2 * p * (1 - p)
+def _blocks(group: list[int]) -> list[tuple[int, ...]]:
+    """The bits of a group in blocks of at most COUNTED, of about equal size."""
+    k = -(-len(group) // COUNTED)
+    return [tuple(group[len(group) * i // k : len(group) * (i + 1) // k]) for i in range(k)]
+
+
+def key_counts(fps: DataFrame, blocks: list[tuple[int, ...]]) -> dict[tuple[int, ...], np.ndarray]:
+    """How often each value of each block's bits occurs among all ``fps`` (fp): 2**COUNTED numbers a block, whatever the number of rows."""
+    out = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches):
+        total = [np.zeros(1 << len(b), dtype=np.int64) for b in blocks]
+        for batch in batches:
+            f = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for k, bits in enumerate(blocks):
+                total[k] += np.bincount(_gather(f, list(bits)).astype(np.int64), minlength=len(total[k]))
+        for k, n in enumerate(total):
+            if n.any():
+                yield one_batch(out, block=[k], counts=[n.astype("<i8").tobytes()])
+
+    def add(batches):
+        total: dict = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(n, "<i8")
+        for k, n in total.items():
+            yield one_batch(out, block=[k], counts=[n.tobytes()])
+
+    ddl = "block int, counts binary"
+    found = {blocks[r.block]: np.frombuffer(bytes(r.counts), "<i8") for r in fps.select("fp").mapInArrow(run, ddl).repartition("block").mapInArrow(add, ddl).collect()}
+    return {b: found.get(b, np.zeros(1 << len(b), dtype=np.int64)) for b in blocks}
+
+
+def distances(counts: np.ndarray) -> np.ndarray:
+    """Shares of the pairs of counted keys that differ in 0, 1, ... bits: the counts' autocorrelation under exclusive or, by two Walsh-Hadamard transforms."""
+    width = int(len(counts)).bit_length() - 1
+
+    def transform(x):
+        for k in range(width):
+            x = x.reshape(-1, 2, 1 << k)
+            x = np.stack([x[:, 0] + x[:, 1], x[:, 0] - x[:, 1]], axis=1).ravel()
+        return x
+
+    share = counts / max(1, counts.sum())
+    both = transform(transform(share.astype(np.float64)) ** 2) / len(counts)
+    return np.bincount(np.bitwise_count(np.arange(len(counts))), weights=np.maximum(both, 0), minlength=width + 1)
+
+
+def choose_plan(fps: DataFrame, tau: int = TAU) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition that is probed, for ``fps`` (fp): the cheapest over numbers of partitions and, by dynamic programming, over thresholds.
+
+    What a threshold costs is estimated from counted keys of the partition's bits, so
+    that bits which vary together aren't taken for independent ones; only blocks of
+    COUNTED bits are taken to be independent of one another. No rows give no plan.
+    """
+    n, ones, both = bit_statistics(fps)
+    if not n:
+        return []
+    partitions = [bit_partitions(n, ones, both, m) for m in range(2, tau + 2)]
+    counts = key_counts(fps, list(dict.fromkeys(b for groups in partitions for g in groups for b in _blocks(g))))
+    near = {b: distances(c) for b, c in counts.items()}
     best = None
-    for m in range(2, tau + 2):
-        groups = bit_partitions(n, ones, both, m)
+    for m, groups in enumerate(partitions, 2):
         cost = []
         for g in groups:
-            near = np.zeros(tau + 2)  # chance that two fingerprints differ in so many bits of the group
-            near[0] = 1
-            for b in g:
-                near[1:] = near[1:] * (1 - differ[b]) + near[:-1] * differ[b]
-                near[0] *= 1 - differ[b]
-            within = np.cumsum(near)
-            cost.append([0.0] + [KEY_COST * sum(comb(len(g), k) for k in range(t + 1)) + n * within[t] for t in range(tau + 1)])
+            share = np.ones(1)  # of pairs that differ in so many bits of the group
+            for b in _blocks(g):
+                share = np.convolve(share, near[b])
+            within = np.cumsum(share)
+            cost.append([0.0] + [KEY_COST * sum(comb(len(g), k) for k in range(t + 1)) + n * within[min(t, len(within) - 1)] for t in range(tau + 1)])
         total = tau - m + 1
         state = {0: (0.0, ())}  # sum of (t_i + 1) so far -> cost, thresholds
         for c in cost:
@@ -236,17 +290,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, blo
     """
     tune(docs.sparkSession)
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    n, ones, both = bit_statistics(distinct)
-    if not n:
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    chosen = choose_plan(distinct, tau)
+    if not chosen:
         return fps.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    edges = links(distinct, choose_plan(n, ones, both, tau), tau, block)
+    edges = links(distinct, chosen, tau, block)
     found = components(edges)
     linked = distinct.join(found, distinct.fp == found.node).select("fp", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "component").select("fp", "component_id")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = written(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    return joined_by(fps, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def _norms(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(row, weights=total, minlength=len(h))) + 1e-9
 
 
-def kernel(left: list[str], right: list[str], step: int = 1024) -> np.ndarray:
+def kernel(left: list[str], right: list[str], step: int = 512) -> np.ndarray:
     """The normalised kernel of all pairs, for a bounded number of ``right`` strings: matrix products over the subsequences that these have."""
     h, w = subsequences(right)
     w = w / _norms(h, w)[:, None]
