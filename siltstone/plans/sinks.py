@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.schema import shown
 
 
+def save(shown: DataFrame, column: str, path: str) -> None:
+    """Writes the texts of a column, as made here, to a folder of text files, one result after another; what was there is replaced."""
+    shown.select(F.regexp_replace(F.col(column), "\n$", "").alias("value")).write.mode("overwrite").text(path)
+
+
 def metadata_block(metadata: Column) -> Column:
     entries = F.array_sort(F.map_entries(metadata), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
     lines = F.transform(entries, lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), shown(e["value"])))
