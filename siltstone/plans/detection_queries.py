@@ -218,6 +218,19 @@ _LANG = "regexp_extract(html, '(?i)<html[^>]*\\blang=\"?([-\\w]+)', 1)"
 _MARKS = (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", "|"))
 _COUNT = "list_transform(lines, lambda s: length(s) - length(replace(s, '{m}', '')))"
 
+_DELIMITER_SQL = f"""WITH h AS (SELECT doc_id, text, substr(text, 1, 1024) AS cut FROM documents),
+      b AS (SELECT doc_id, list_reduce(list_concat([0], list_transform(range(1, length(cut) + 1), lambda i: CAST(i AS BIGINT))), lambda a, i: CASE WHEN strlen(substr(cut, 1, i)) <= 1024 THEN i ELSE a END) AS n, cut FROM h),
+      l AS (SELECT doc_id, string_split(regexp_replace(substr(cut, 1, n), '\\n$', ''), chr(10))[1:10] AS lines, strlen(substr(cut, 1, n)) = 1024 OR n = length(cut) AS whole FROM b),
+      s AS (SELECT doc_id, whole, {', '.join(f"len(list_filter({_COUNT.format(m=m)}, lambda c: c = ({_COUNT.format(m=m)})[1])) * ({_COUNT.format(m=m)})[1] AS {n}" for n, m in _MARKS)} FROM l)
+      SELECT doc_id, CASE WHEN NOT whole OR greatest(comma, semicolon, tab, pipe) = 0 THEN 'comma' {' '.join(f"WHEN {n} = greatest(comma, semicolon, tab, pipe) THEN '{n}'" for n, _ in _MARKS)} END AS delimiter FROM s"""
+_DELIMITERS = "CASE delimiter WHEN 'semicolon' THEN ';' WHEN 'tab' THEN chr(9) WHEN 'pipe' THEN '|' ELSE ',' END"
+#: A table whose lines haven't one number of fields is an error; other tables show their fields with a comma and a blank between.
+_EXTRACTED = """WITH f AS ({found}), c AS ({csv}), l AS (
+      SELECT doc_id, text, mime_type, {mark} AS mark, list_filter(string_split(regexp_replace(text, '\\r', '', 'g'), chr(10)), lambda s: s <> '') AS lines FROM documents JOIN f USING (doc_id) JOIN c USING (doc_id)),
+      e AS (SELECT *, mime_type = 'text/csv' AND len(list_distinct(list_transform(lines, lambda s: length(s) - length(replace(s, mark, ''))))) > 1 AS uneven FROM l)
+      SELECT doc_id, mime_type, CASE WHEN uneven THEN 'ParseError' END AS error_kind,
+        CASE WHEN uneven THEN NULL WHEN mime_type = 'text/csv' THEN length(replace(array_to_string(lines, chr(10)), mark, ', ')) ELSE length(text) END AS n_chars FROM e"""
+
 QUERIES = {
     "detect_pages": detect_pages, "detect_documents": detect_documents, "detect_props": detect_props, "detect_conversations": detect_conversations, "detect_summary": detect_summary,
     "detect_magic_table": detect_magic_table, "detect_extension": detect_extension, "detect_with_hint": detect_with_hint, "confidence_context": confidence_context, "encoding_sniff": encoding_sniff,
@@ -244,11 +257,7 @@ ORACLE = {
     "supported_formats": f"SELECT * FROM (VALUES {_VALUES([(m,) for m in supported()])}) AS v(mime_type)",
     "unsupported_rows": f"SELECT origin, mime_type, count(*) AS n FROM ({_ALL}) WHERE mime_type NOT IN ({', '.join(repr(m) for m in supported())}) GROUP BY origin, mime_type",
     "plain_metadata": f"SELECT doc_id, length(text) AS character_count, CAST({_LINES.format(t='text')} AS BIGINT) AS line_count, 'UTF-8' AS encoding FROM documents",
-    "csv_delimiter": f"""WITH h AS (SELECT doc_id, text, substr(text, 1, 1024) AS cut FROM documents),
-      b AS (SELECT doc_id, list_reduce(list_concat([0], list_transform(range(1, length(cut) + 1), lambda i: CAST(i AS BIGINT))), lambda a, i: CASE WHEN strlen(substr(cut, 1, i)) <= 1024 THEN i ELSE a END) AS n, cut FROM h),
-      l AS (SELECT doc_id, string_split(regexp_replace(substr(cut, 1, n), '\\n$', ''), chr(10))[1:10] AS lines, strlen(substr(cut, 1, n)) = 1024 OR n = length(cut) AS whole FROM b),
-      s AS (SELECT doc_id, whole, {', '.join(f"len(list_filter({_COUNT.format(m=m)}, lambda c: c = ({_COUNT.format(m=m)})[1])) * ({_COUNT.format(m=m)})[1] AS {n}" for n, m in _MARKS)} FROM l)
-      SELECT doc_id, CASE WHEN NOT whole OR greatest(comma, semicolon, tab, pipe) = 0 THEN 'comma' {' '.join(f"WHEN {n} = greatest(comma, semicolon, tab, pipe) THEN '{n}'" for n, _ in _MARKS)} END AS delimiter FROM s""",
+    "csv_delimiter": _DELIMITER_SQL,
     "html_title": f"SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^{_SPACE}|{_SPACE}$', '', 'g') AS title FROM pages",
     "html_meta": f"SELECT page_id, {_CHARSET} AS charset, {_LANG} AS language FROM pages",
     "html_headings": "SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '(?i)<h{k}[\\s>]')) AS BIGINT) AS heading_h{k}_count" for k in range(1, 7)) + " FROM pages",
@@ -256,6 +265,7 @@ ORACLE = {
     "html_text": """WITH b AS (SELECT page_id, regexp_replace(html, '(?is)^.*?<body[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g') AS t FROM pages),
       v AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '&lt;', '<') AS t FROM b)
       SELECT page_id, length(regexp_replace(t, '\\s', '', 'g')) AS n_visible FROM v""",
+    "documents_extracted": _EXTRACTED.format(found=found_sql("documents", "doc_id", "text"), csv=_DELIMITER_SQL, mark=_DELIMITERS),
     "batch_summary": "SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 3 <> 0) AS succeeded, count(*) FILTER (WHERE doc_id % 3 = 0) AS failed FROM documents",
     "size_guard": f"SELECT page_id, strlen(html) AS bytes, strlen(html) > {int(SIZE_LIMITS['text/html'] * 0.001)} AS too_large FROM pages",
     "unsafe_paths": """WITH p AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '../' || p_name WHEN 1 THEN '/' || p_name WHEN 2 THEN 'C:' || p_name WHEN 3 THEN p_name || '/../x' WHEN 4 THEN 'a..b/' || p_name ELSE p_name END AS path FROM part)
