@@ -222,6 +222,10 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    _encoders.clear()
+
+
 def id_type(path: str) -> str:
     """Two bytes an id between the stages, if the vocabulary fits; what is written is Huffman codes."""
     return encoder(path).width
@@ -247,6 +251,7 @@ def id_counts(rows: DataFrame, width: str) -> np.ndarray:
     out = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
+        forget()  # all texts are encoded: a worker needs what it remembers no more
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
             if not b.num_rows:

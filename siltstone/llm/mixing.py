@@ -15,13 +15,12 @@ that is cut.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import removed, table, task_partition, tune, words, written
+from .common import one_batch, removed, sorted_groups, table, task_partition, tune, written
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 9
 #: Bits of the seeded hash, and of its beginnings by which documents of one length are counted rather than sorted.
@@ -96,15 +95,25 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return take
 
 
-def sized(docs: DataFrame, size: str, draw: str, seed: int) -> DataFrame:
-    """The rows with two more columns: words of the text, 0 for null, and a seeded hash of the row's id, source and text. Counting words natively would take a regular expression over each text; this is a split."""
+def taken(counts: dict[int, int], size: int, target: float, most: int) -> list[tuple[int, int]]:
+    """For each length of a source: how often all its documents are taken, and how many of them once more."""
+    whole = min(most, int(target // size)) if size else 0
+    rest = 0 if whole == most else max(0, round(target) - whole * size)
+    words_of = lambda taken: sum(s * k for s, k in taken.items())
+    # Every document the same number of times and a part of them once more; where that isn't exact, as often as is allowed.
+    more = fit(counts, rest)
+    best = {s: whole * n + more.get(s, 0) for s, n in counts.items()}
+    for least in (whole, 0):
+        if size and words_of(best) < round(target):
+            more = fit({s: n * (most - least) for s, n in counts.items()}, round(target) - least * size)
+            best = max(best, {s: least * n + more.get(s, 0) for s, n in counts.items()}, key=words_of)
+    return [divmod(best[s], n) for s, n in counts.items()]
 
-    @F.pandas_udf("long")
-    def count(text: pd.Series) -> pd.Series:
-        return pd.Series([0 if t is None else len(words(t)) for t in text], dtype="int64")
 
+def sized(docs: DataFrame, size: str, draw: str, seed: int) -> DataFrame:
+    """The rows with two more columns: words of the text, 0 for null, and a seeded hash of the row's id, source and text."""
     seeded = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source").cast("string"), F.col("text")), F.lit(1 << DRAW_BITS))
-    return docs.withColumn(draw, seeded).withColumn(size, count(F.col("text").cast("binary")))
+    return docs.withColumn(draw, seeded).withColumn(size, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
 def goals(rows: DataFrame, weights: tuple, most: float) -> DataFrame:
@@ -164,27 +173,27 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFra
     below ``edge``; of the ``at_edge`` rows that have this draw, ``of_edge`` once more.
     """
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
-        whole = min(most, int(target // size)) if size else 0
-        rest = 0 if whole == most else max(0, round(target) - whole * size)
-        counts = {int(s): int(n) for s, n in zip(pdf["size"], pdf["n"])}
-        words_of = lambda taken: sum(s * k for s, k in taken.items())
-        # Every document the same number of times and a part of them once more; where that isn't exact, as often as is allowed.
-        best = {s: whole * n + k for (s, n), k in zip(counts.items(), map(fit(counts, rest).get, counts, [0] * len(counts)))}
-        for least in (whole, 0):
-            if size and words_of(best) < round(target):
-                more = fit({s: n * (most - least) for s, n in counts.items()}, round(target) - least * size)
-                best = max(best, {s: least * n + more.get(s, 0) for s, n in counts.items()}, key=words_of)
-        taken = [best[int(s)] for s in pdf["size"]]
-        return pd.DataFrame({"source": pdf.source, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "whole": [k // n for k, n in zip(taken, pdf["n"])], "more": [k % n for k, n in zip(taken, pdf["n"])]})
+    out = pa.schema([("source", pa.string()), *((c, pa.float64() if c == "target" else pa.int64()) for c in ("size", "source_size", "target", "whole", "more"))])
+
+    def choose(batches):
+        for group in sorted_groups(batches, 1):
+            names, sizes, totals, aims, many = (group.column(c).to_pylist() for c in ("source", "size", "source_size", "target", "n"))
+            k = 0
+            while k < len(names):
+                end = k + 1
+                while end < len(names) and names[end] == names[k]:
+                    end += 1
+                whole, more = zip(*taken(dict(zip(sizes[k:end], many[k:end])), totals[k], aims[k], most))
+                yield one_batch(out, source=names[k:end], size=sizes[k:end], source_size=totals[k:end], target=aims[k:end], whole=whole, more=more)
+                k = end
 
     aims = goals(rows, weights, most)
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
-    taken = written(lengths.join(aims, lengths.source.eqNullSafe(aims.source)).drop(aims.source).groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, whole long, more long"), "mix")
+    both = lengths.join(aims, lengths.source.eqNullSafe(aims.source)).drop(aims.source).repartition("source").sortWithinPartitions("source", "size")
+    fitted = written(both.mapInArrow(choose, "source string, size long, source_size long, target double, whole long, more long"), "mix")
     # Of the lengths that are cut: by ever longer beginnings of the draw, the one in which the count is reached; then the draw.
-    held, steps = written(taken.where("more > 0").select("source", "size", "more", F.lit(0).cast("long").alias("begins")), "cut"), (*BUCKET_BITS, DRAW_BITS)
-    done = [taken, held]
+    held, steps = written(fitted.where("more > 0").select("source", "size", "more", F.lit(0).cast("long").alias("begins")), "cut"), (*BUCKET_BITS, DRAW_BITS)
+    done = [fitted, held]
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     for was, now in zip((0, *steps), steps):
         near = with_lengths(rows.select("source", "size", "draw"), held).where(F.shiftright("draw", DRAW_BITS - was) == F.col("begins"))
@@ -193,7 +202,7 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFra
         held = written(near, "cut")
         done.append(held)
     edges = held.select("source", "size", F.col("begins").alias("edge"), F.col("more").alias("of_edge"), F.col("n").alias("at_edge"))
-    whole = written(taken.join(edges, same(taken, edges), "left").select(taken.source, taken["size"], "source_size", "target", "whole", "edge", "of_edge", "at_edge"), "plan")
+    whole = written(fitted.join(edges, same(fitted, edges), "left").select(fitted.source, fitted["size"], "source_size", "target", "whole", "edge", "of_edge", "at_edge"), "plan")
     removed(*done)
     return whole
 
