@@ -205,6 +205,9 @@ _NEAR = f"(SELECT vec_id, m.label, list_distance(CAST(embedding AS DOUBLE[]), me
 _KNN = "(SELECT q.vec_id AS query_id, r.vec_id, r.label, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), r.vec_id) AS rank FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id QUALIFY rank <= 5)"
 _BOX = "(SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, l_partkey % 40 AS x, l_suppkey % 20 AS y, 5 + CAST(l_quantity AS BIGINT) % 20 AS w, CAST(4 + l_linenumber * 3 % 9 AS BIGINT) AS h FROM lineitem)"
 _INTER = "greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y))"
+_OVER = "CAST(greatest(0, least(p.x + p.w, {q}.x + {q}.w) - greatest(p.x, {q}.x)) * greatest(0, least(p.y + p.h, {q}.y + {q}.h) - greatest(p.y, {q}.y)) AS DOUBLE) / (p.w * p.h + {q}.w * {q}.h - greatest(0, least(p.x + p.w, {q}.x + {q}.w) - greatest(p.x, {q}.x)) * greatest(0, least(p.y + p.h, {q}.y + {q}.h) - greatest(p.y, {q}.y)))"
+_JOINS = "list_transform(a, lambda s: greatest(0, least(c[1].high, s.high) - greatest(c[1].low, s.low)) >= 0.5 * least(greatest(1, c[1].high - c[1].low), greatest(1, s.high - s.low)))"
+_LINE = f"a[list_position({_JOINS}, true)]"
 _WORDS = lambda t: f"(SELECT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM {t}) WHERE word <> '')"
 
 #: No SQL for spell_lookup: DuckDB's levenshtein counts bytes; it is tested against brute force.
@@ -219,6 +222,15 @@ ORACLE = {
     "knn_vote": f"SELECT query_id, label, round(exp(-best), 6) AS confidence FROM (SELECT query_id, label, sum(1 / (d + 0.001)) AS v, min(min(d)) OVER (PARTITION BY query_id) AS best FROM {_KNN} GROUP BY query_id, label) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, label) = 1",
     "prototype_topk": f"SELECT vec_id, label, rank, round(d, 6) AS distance FROM {_NEAR}",
     "iou_pairs": f"WITH b AS {_BOX}, x AS (SELECT p.image, p.id AS a, q.id AS b, {_INTER} AS n, p.w * p.h + q.w * q.h AS s FROM b p JOIN b q ON p.image = q.image AND p.id < q.id) SELECT image, a, b, round(CAST(n AS DOUBLE) / (s - n), 9) AS iou FROM x WHERE n > 0",
+    "nms": f"""WITH b AS {_BOX}, g AS (SELECT image, list([{{'id': id, 'x': x, 'y': y, 'w': w, 'h': h}}] ORDER BY w * h DESC, id) AS l FROM b GROUP BY image),
+      r AS (SELECT image, list_reduce(l, lambda a, c: CASE WHEN len(list_filter(a, lambda p: {_OVER.format(q='c[1]')} > 0.3)) = 0 THEN list_concat(a, c) ELSE a END) AS kept FROM g)
+      SELECT image, unnest(list_transform(kept, lambda k: k.id)) AS id FROM r""",
+    "region_lines": f"""WITH b AS (SELECT image, x, y, w, h, list(id ORDER BY id) AS ids FROM {_BOX} GROUP BY ALL),
+      g AS (SELECT image, list([{{'low': y, 'high': y + h, 'ids': ids}}] ORDER BY y, x, ids[1]) AS l FROM b GROUP BY image),
+      r AS (SELECT image, list_reduce(l, lambda a, c: CASE WHEN coalesce(list_position({_JOINS}, true), 0) = 0 THEN list_concat(a, c) ELSE list_concat(list_concat(a[:list_position({_JOINS}, true) - 1],
+        [{{'low': least({_LINE}.low, c[1].low), 'high': greatest({_LINE}.high, c[1].high), 'ids': list_concat({_LINE}.ids, c[1].ids)}}]), a[list_position({_JOINS}, true) + 1:]) END) AS lines FROM g),
+      n AS (SELECT image, unnest(lines) AS line, generate_subscripts(lines, 1) AS made FROM r), o AS (SELECT image, line.ids AS ids, row_number() OVER (PARTITION BY image ORDER BY line.low, made) - 1 AS line FROM n)
+      SELECT image, unnest(ids) AS id, CAST(line AS INTEGER) AS line FROM o""",
     "region_filter": f"SELECT image, id FROM {_BOX} WHERE CAST(w AS DOUBLE) / h BETWEEN 0.5 AND 4.0 AND h BETWEEN 5 AND 11 AND w * h >= 40",
     "neighbor_density": f"WITH b AS {_BOX} SELECT p.image, p.id, count(q.id) AS neighbours FROM b p LEFT JOIN b q ON p.image = q.image AND p.id <> q.id AND abs((q.y + q.h * 0.5) - (p.y + p.h * 0.5)) <= 0.5 * p.h AND CAST(q.h AS DOUBLE) / p.h BETWEEN 0.5 AND 2.0 AND greatest(q.x - p.x - p.w, p.x - q.x - q.w, 0) <= 3.0 * p.h GROUP BY p.image, p.id",
     "line_gaps": f"SELECT image, 0 AS line, id, greatest(0, x - lag(x + w) OVER (PARTITION BY image ORDER BY x, id)) AS gap FROM {_BOX} QUALIFY lag(x + w) OVER (PARTITION BY image ORDER BY x, id) IS NOT NULL",
