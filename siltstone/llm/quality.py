@@ -114,7 +114,10 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_o
     draw = F.xxhash64(F.lit(seed), "doc_id", "label", "text").alias("draw")
     rows = written(docs.select("doc_id", bytes_of().alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", draw), "labelled")  # documents are read once for it
     first = rows.select("draw").orderBy("draw").limit(sample + 1).collect()  # repeated ids may give more rows than labels
-    return rows if len(first) <= sample else rows.where(F.col("draw") < first[sample].draw)
+    if len(first) <= sample:
+        return rows
+    cut = first[sample].draw  # rows of one draw are equal: all or none of them, but some where there is nothing else
+    return rows.where(F.col("draw") < cut) if first[0].draw < cut else rows.where(F.col("draw") == cut).limit(sample)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
