@@ -41,7 +41,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not w:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    h = np.array([digest(join(w[i : i + shingle]), SEED) for i in range(max(1, len(w) - shingle + 1))], dtype="<u8")
+    return majority(np.array([digest(join(w[i : i + shingle]), SEED) for i in range(max(1, len(w) - shingle + 1))], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes ``h`` have; 0 for none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -146,7 +150,7 @@ def distances(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.bitwise_count(np.arange(len(counts))), weights=np.maximum(both, 0), minlength=width + 1)
 
 
-def choose_plan(fps: DataFrame, tau: int = TAU) -> list[tuple[list[int], int]]:
+def choose_plan(fps: DataFrame, tau: int = TAU, key_cost: float = KEY_COST) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed, for ``fps`` (fp): the cheapest over numbers of partitions and, by dynamic programming, over thresholds.
 
     What a threshold costs is estimated from counted keys of the partition's bits, so
@@ -167,7 +171,7 @@ def choose_plan(fps: DataFrame, tau: int = TAU) -> list[tuple[list[int], int]]:
             for b in _blocks(g):
                 share = np.convolve(share, near[b])
             within = np.cumsum(share)
-            cost.append([0.0] + [KEY_COST * sum(comb(len(g), k) for k in range(t + 1)) + n * within[min(t, len(within) - 1)] for t in range(tau + 1)])
+            cost.append([0.0] + [key_cost * sum(comb(len(g), k) for k in range(t + 1)) + n * within[min(t, len(within) - 1)] for t in range(tau + 1)])
         total = tau - m + 1
         state = {0: (0.0, ())}  # sum of (t_i + 1) so far -> cost, thresholds
         for c in cost:
@@ -206,6 +210,20 @@ def _forest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return moved, label[moved]
 
 
+def closest(x: np.ndarray, y: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the linked rows x, y of ``fp`` two links for each row at most: with the smallest fingerprint and with the nearest one."""
+    n = len(fp)
+    order = np.argsort(fp)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    low, near = np.full(n, n), np.full(n, n * (BITS + 1))
+    for a, b in ((x, y), (y, x)):
+        np.minimum.at(low, a, rank[b])
+        np.minimum.at(near, a, np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) * n + rank[b])
+    row = np.flatnonzero(low < n)
+    return np.r_[row, row], order[np.r_[low[row], near[row] % n]]
+
+
 def _linked(left: np.ndarray, right: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     rows, cols = [], []
     step = max(1, (1 << 22) // max(len(right), 1))
@@ -216,8 +234,12 @@ def _linked(left: np.ndarray, right: np.ndarray, tau: int) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def links(distinct: DataFrame, plan: list[tuple[list[int], int]], tau: int = TAU, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning forest of each bucket's pairs within ``tau`` bits, over ``distinct`` (fp). No pair of the result is farther apart, and no linked pair is in two trees once all buckets are joined."""
+def links(distinct: DataFrame, plan: list[tuple[list[int], int]], tau: int = TAU, block: int = BLOCK, forest: bool = True) -> DataFrame:
+    """(a, b): a spanning forest of each bucket's pairs within ``tau`` bits, over ``distinct`` (fp). No linked pair is in two trees once all buckets are joined.
+
+    Edges of a forest lead to the root of a tree, which may be farther away. Without
+    ``forest`` there are linked pairs instead, those of closest() in each bucket.
+    """
     probes = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("fp", pa.int64()), ("probe", pa.bool_())])
 
     def keys(batches):
@@ -271,7 +293,7 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], tau: int = TAU
                     x, y = left[x], right[y]
                     near = r[x] != r[y]
                     if near.any():
-                        x, y = _forest(x[near], y[near], hi - lo)
+                        x, y = _forest(x[near], y[near], hi - lo) if forest else closest(x[near], y[near], r)
                         a.append(r[x])
                         b.append(r[y])
             if a:

@@ -1,5 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, every link found and verified.
+"""Near-duplicates by SimHash fingerprints of word shingles, verified by Jaccard similarity; links that the fingerprints don't show are found by shared shingles.
 
+SimHash comes first: a set's fingerprint has the bits of most of its shingles,
+and the generalised pigeonhole search of operator 6 gives fingerprints at most
+``TAU`` bits apart. Each is compared, on whole sets, with the smallest and the
+nearest that it is linked with, and with the first set of an equal fingerprint.
+
+Sets of similarity 4/5 may differ in more bits, and fingerprints meet that belong
+to others. So what isn't in one component by then is looked for by shingles.
 Two sets of similarity 4/5 at least share a shingle among the first
 ``n - ceil(4n/5) + 1`` of each, whatever the order of all shingles, so an
 equi-join of these beginnings misses no pair. The order puts rare shingles first,
@@ -20,14 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bytes_of, joined_by, one_batch, removed, tune, words, written
 from .components import components
 
 SHINGLE, SEED = 5, 42
+#: Bits in which linked fingerprints differ at most; cost of a shuffled key, in compared fingerprints.
+TAU, KEY_COST = 8, 1000.0
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
-#: Bytes of an Arrow batch: sets are several times as long as their rows.
-BATCH_BYTES = 2 << 20
+#: Bytes of an Arrow batch, and rows that are read from Parquet together: sets are several times as long as their rows.
+BATCH_BYTES, READ_ROWS = 2 << 20, 256
 #: Counters of the hashed table; how many travel together; rows of a shingle that one task pairs with one another; nodes that are sent to every task at most.
 COUNTERS, PIECE, BLOCK, SENT = 1 << 20, 1 << 12, 2048, 1 << 20
 
@@ -46,16 +56,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, node, hashes): a hash that stands for the text, one that stands for its set of shingles, and the set."""
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("node", pa.int64()), ("hashes", pa.binary())])
+    """(doc_id, text, node, fp, hashes): a hash that stands for the text, one that stands for its set of shingles, the SimHash of the set, and the set."""
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t.as_py()).tobytes() for t in b.column(1)]
-            nodes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(nodes), pa.array(sets, type=pa.binary())], schema=out)
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            fps = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(nodes), pa.array(fps), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of().alias("text"), _of_text("text").alias("hash")).mapInArrow(run, "doc_id long, text long, node long, hashes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of().alias("text"), _of_text("text").alias("hash")).mapInArrow(run, "doc_id long, text long, node long, fp long, hashes binary")
 
 
 def _of_text(text: str):
@@ -169,14 +180,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def fingerprint_links(sets: DataFrame, tau: int = TAU, block: int = simhash.BLOCK) -> DataFrame:
+    """(a, b): links between nodes of similar sets, whose fingerprints differ in at most ``tau`` bits. At most two for each fingerprint, and one for each other node of an equal one."""
+    nodes = written(sets.select("node", "fp").distinct(), "nodes")
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "fps")
+    pairs = joined_by(nodes, fps, "fp", "n").where("node <> least").select("node", F.col("least").alias("other"))
+    plan = simhash.choose_plan(fps, tau, KEY_COST)
+    if plan:
+        met = simhash.links(fps, plan, tau, block, forest=False)
+        met = met.groupBy("a").agg(F.min("b").alias("low"), F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "b")).alias("near"))
+        met = written(met.select("a", F.explode(F.array_distinct(F.array("low", "near.b"))).alias("b")), "met")
+        first, second = fps.select(F.col("fp").alias("a"), F.col("least").alias("node")), fps.select(F.col("fp").alias("b"), F.col("least").alias("other"))
+        pairs = pairs.union(met.join(first, "a").join(second, "b").select("node", "other"))
+    out = verified(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")), sets)
+    removed(nodes, fps, *([met] if plan else []))
+    return out
+
+
 def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between nodes that leave the same components as all pairs of similar sets."""
+    """(a, b): links between nodes that leave the same components as all pairs of similar sets: those of the fingerprints, and what is missing by shingles."""
+    known = fingerprint_links(sets, block=block)
     held = written(shared(beginnings(sets, shingle_counts(sets))).distinct(), "shared")
-    lead = held.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("x")).select("key", "x.*")
-    star = held.alias("p").join(lead.alias("q"), "key").where((F.col("p.node") != F.col("q.node")) & _possible("p", "q"))
-    first = verified(star.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")), sets)
-    own = components(first)
-    named = held.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = _named(held, known)
+    lead = named.groupBy("key").agg(F.min(F.struct("pos", "node", "n", "component")).alias("q"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    parted = written(named.join(lead, "key").select("key", F.struct("node", "n", "pos", "component").alias("p"), "q"), "parted")
+    star = parted.where((F.col("p.component") != F.col("q.component")) & _possible("p", "q"))
+    known = known.union(verified(star.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")), sets))
+    named = _named(parted.select("key", "p.node", "p.n", "p.pos"), known)
     several = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows")).where("least <> most")
     blocks = F.ceil(F.col("rows") / block).cast("int")
     dealt = (
@@ -188,15 +218,21 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = written(dealt, "dealt")
     inside = (F.col("p.own") == F.col("i")) & (F.col("q.own") == F.col("j")) & ((F.col("i") != F.col("j")) | (F.col("p.node") < F.col("q.node")))
     across = dealt.alias("p").join(dealt.alias("q"), ["key", "i", "j"]).where(inside & (F.col("p.component") != F.col("q.component")) & _possible("p", "q"))
-    second = verified(across.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")), sets)
-    removed(held, dealt)
-    return first.union(second)
+    last = verified(across.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")), sets)
+    removed(held, parted, dealt)
+    return known.union(last)
+
+
+def _named(held: DataFrame, known: DataFrame) -> DataFrame:
+    """``held`` with the component that the ``known`` links give each node, itself if there is none."""
+    return held.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, text, group, component_id) for each row of ``docs``: text is a hash of it, group stands for its component, component_id is the smallest id of that."""
     tune(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    docs.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     sets = written(shingle_sets(docs), "sets")
     distinct = written(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     found = components(links(sets, block))
