@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, crc_of_id, table, tune, written
 
-#: Labelled rows to learn from at most (those of the least seeded hash), and pairs.
-SAMPLE, PAIRS, SEED = 20_000, 60_000, 5
+#: Labelled rows to learn from at most (those of the least seeded hash), and pairs; pairs whose differences are held at once.
+SAMPLE, PAIRS, SEED, HELD = 20_000, 60_000, 5, 4096
 FOLDS, HELD_OUT, CUT = 4, 2, 0.7
 RIDGE = 1e-2
 
@@ -63,16 +63,24 @@ class Ranker:
         self.knots = [np.unique(np.quantile(c, (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98))) for c in x.T]
         self.mean, self.sd = 0.0, 1.0
         z = self._bend(x)
-        self.mean, self.sd = z.mean(axis=0), z.std(axis=0) + 1e-6
-        z = self._bend(x)
+        self.mean = z.mean(axis=0)
+        self.sd = np.array([c.std() for c in z.T]) + 1e-6
+        z -= self.mean
+        z /= self.sd
         good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
         self.w = np.zeros(z.shape[1])
         if len(good) and len(bad):
             rng = np.random.default_rng(seed)
-            d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+            first, second = rng.choice(good, pairs), rng.choice(bad, pairs)
             for _ in range(12):
-                p = 1 / (1 + np.exp(np.clip(d @ self.w, -30, 30)))
-                step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(len(self.w)), d.T @ p / pairs - RIDGE * self.w)
+                bend, rise = np.zeros((len(self.w), len(self.w))), np.zeros(len(self.w))
+                for k in range(0, pairs, HELD):
+                    d = z[first[k : k + HELD]]
+                    d -= z[second[k : k + HELD]]
+                    p = 1 / (1 + np.exp(np.clip(d @ self.w, -30, 30)))
+                    rise += d.T @ p
+                    bend += (d * (p * (1 - p))[:, None]).T @ d
+                step = np.linalg.solve(bend / pairs + RIDGE * np.eye(len(self.w)), rise / pairs - RIDGE * self.w)
                 self.w += step
                 if np.abs(step).max() < 1e-4:
                     break
@@ -81,8 +89,15 @@ class Ranker:
         self.quantile = float((s < self.cut).mean()) if len(s) else 0.0
 
     def _bend(self, x: np.ndarray) -> np.ndarray:
-        cols = [c for k, v in enumerate(x.T) for c in (v, *(np.maximum(v - q, 0) for q in self.knots[k]))]
-        return (np.stack(cols, axis=1) - self.mean) / self.sd
+        z, at = np.empty((len(x), sum(1 + len(q) for q in self.knots))), 0
+        for k, v in enumerate(x.T):
+            z[:, at] = v
+            for j, q in enumerate(self.knots[k], at + 1):
+                z[:, j] = np.maximum(v - q, 0)
+            at += 1 + len(self.knots[k])
+        z -= self.mean
+        z /= self.sd
+        return z
 
     @staticmethod
     def _quantile(s: np.ndarray, label: np.ndarray) -> float:
@@ -121,18 +136,20 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_o
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
-    """Features are made where the texts are; at most ``sample`` rows of 22 numbers come to the driver."""
-    out = pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+    """Features are made where the texts are; at most ``sample`` rows of 22 numbers come to the driver, as bytes."""
+    out = pa.schema([("label", pa.int32()), ("x", pa.binary())])
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([features(t.as_py()) for t in b.column(0)], pa.list_(pa.float64()))], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([np.array(features(t.as_py()), dtype="<f8").tobytes() for t in b.column(0)], pa.binary())], schema=out)
 
     rows = labelled(docs, labels, "quality", FOLDS, HELD_OUT, sample, SEED)
-    got = sorted(rows.select("text", "label").mapInArrow(run, "label int, x array<double>").collect(), key=lambda r: (r.label, r.x))
-    x = np.array([r.x for r in got]) if got else np.zeros((0, 22))
-    y = np.array([r.label for r in got], dtype=int)
-    return Ranker(x, y) if len(got) else Ranker(np.zeros((1, 22)), np.ones(1, dtype=int))
+    got = rows.select("text", "label").mapInArrow(run, "label int, x binary").collect()
+    if not got:
+        return Ranker(np.zeros((1, 22)), np.ones(1, dtype=int))
+    x, y = np.frombuffer(b"".join(r.x for r in got), "<f8").reshape(len(got), 22), np.array([r.label for r in got], dtype=int)
+    order = np.lexsort((*x.T[::-1], y))  # by label, then by the numbers from the first on
+    return Ranker(x[order], y[order])
 
 
 def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
