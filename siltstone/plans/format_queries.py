@@ -12,7 +12,7 @@ from ..operators.extract import extract
 from ..operators.schema import get
 from ..sources import packages as p
 from . import sinks
-from .detection_queries import _CHARSET, _LANG, table
+from .detection_queries import _CHARSET, _LANG, dealt, table
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ def json_text(spark, sf):
 
 
 def json_parsed(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", F.col("props").alias("content"))
+    rows = dealt(spark, sf, "events").select("event_id", F.col("props").alias("content"))
     return read(rows, "application/json").select("event_id", "text", text_of("schema_info")(), text_of("valid")("boolean"))
 
 
@@ -68,14 +68,14 @@ def css_from_pages(spark, sf):
 def rtf_strip(spark, sf):
     s = lambda x: F.lit(x)
     body = F.concat(s("{\\rtf1\\ansi{\\info{\\title "), "p_name", s("}{\\author "), "p_brand", s("}{\\creatim\\yr2020\\mo3\\dy"), F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0"), s("\\hr1}}{\\fonttbl{\\f0 Arial;}}\\b "), "p_name", s("\\b0\\par "), "p_type", s("\\tab "), F.col("p_size").cast("string"), s("}"))
-    rows = table(spark, sf, "part").select("p_partkey", body.alias("content"))
+    rows = dealt(spark, sf, "part").select("p_partkey", body.alias("content"))
     return read(rows, "application/rtf").select("p_partkey", "text", text_of("title")(), text_of("author")(), text_of("creation_date")(), text_of("rtf_version")())
 
 
 def markdown_counts(spark, sf):
     s = lambda x: F.lit(x)
     body = F.concat(s("# "), "p_name", s("\n\n"), "p_type", s(" and [brand](http://x.example/"), F.col("p_partkey").cast("string"), s(")\n\n## Size\n\n```\n"), F.col("p_size").cast("string"), s("\n```\n\n![i](a.png)\n"))
-    rows = table(spark, sf, "part").select("p_partkey", body.alias("content"))
+    rows = dealt(spark, sf, "part").select("p_partkey", body.alias("content"))
     return read(rows, "text/markdown").select("p_partkey", text_of("title")(), *(text_of(k)("number") for k in ("heading_h1_count", "heading_h2_count", "link_count", "image_count", "code_block_count")), F.contains("text", F.col("content").substr(F.lit(3), F.instr("content", "\n") - 3)).alias("has_title"))
 
 
@@ -152,12 +152,12 @@ def packages_detected(spark, sf):
 
 
 def png_texts(spark, sf):
-    files = table(spark, sf, "part").select("p_partkey", p.made(p.png_of_part, F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("content"))
+    files = dealt(spark, sf, "part").select("p_partkey", p.made(p.png_of_part, F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("content"))
     return rows_of(spark, files, "p_partkey", "png_texts", "t.ord, t.kind, t.keyword, t.text")
 
 
 def image_headers(spark, sf):
-    part = table(spark, sf, "part")
+    part = dealt(spark, sf, "part")
     size = (F.col("p_partkey") % 4096 + 1), (F.col("p_partkey") % 100 + 1)
     made = {"png": p.made(p.png_of_part, F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type")), "jpeg": p.made(p.jpeg, *size), "webp": p.made(p.webp, *size)}
     parts = [read(part.select("p_partkey", c.alias("content")), f"image/{kind}").select("p_partkey", F.lit(kind).alias("kind"), text_of("width")("number"), text_of("height")("number")) for kind, c in made.items()]
@@ -177,17 +177,17 @@ def _place():
 
 def exif_gps(spark, sf):
     d, m, s, south = _place()
-    rows = table(spark, sf, "supplier").select("s_suppkey", p.made(p.tiff_gps, F.col("s_suppkey"), d, m, s, south).alias("content"), textual.gps_degrees(d, m, s, F.when(south, "S").otherwise("N")).alias("native"))
+    rows = dealt(spark, sf, "supplier").select("s_suppkey", p.made(p.tiff_gps, F.col("s_suppkey"), d, m, s, south).alias("content"), textual.gps_degrees(d, m, s, F.when(south, "S").otherwise("N")).alias("native"))
     return read(rows, "image/tiff").select("s_suppkey", F.round(get(F.col("metadata"), "gps_latitude", "float"), 9).alias("latitude"), F.round("native", 9).alias("native"), text_of("camera_make")(), F.date_format(get(F.col("metadata"), "datetime", "datetime"), "yyyy-MM-dd HH:mm:ss").alias("taken"))
 
 
 def mp3_tags(spark, sf):
-    files = table(spark, sf, "part").select("p_partkey", p.made(p.id3, F.col("p_name"), F.col("p_brand"), F.col("p_type"), 1950 + F.col("p_size"), F.col("p_partkey") % 90).alias("content"))
+    files = dealt(spark, sf, "part").select("p_partkey", p.made(p.id3, F.col("p_name"), F.col("p_brand"), F.col("p_type"), 1950 + F.col("p_size"), F.col("p_partkey") % 90).alias("content"))
     return read(files, "audio/mpeg").select("p_partkey", text_of("title")(), text_of("artist")(), text_of("genre")(), text_of("year")("number"), text_of("track")("number"), text_of("total_tracks")("number"))
 
 
 def _pdfs(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", p.made(p.pdf_of_part, F.col("p_partkey"), F.col("p_name"), F.col("p_type")).alias("content"))
+    return dealt(spark, sf, "part").select("p_partkey", p.made(p.pdf_of_part, F.col("p_partkey"), F.col("p_name"), F.col("p_type")).alias("content"))
 
 
 def pdf_text(spark, sf):
@@ -202,7 +202,7 @@ def pdf_streams(spark, sf):
 def ole_printable_runs(spark, sf):
     nul = lambda n: F.unhex(F.lit("00" * n))
     data = F.concat(F.unhex(F.lit("d0cf11e0a1b11ae1")), nul(512), F.encode("p_name", "UTF-8"), nul(2), F.lit("12345").cast("binary"), nul(1), F.encode("p_type", "UTF-8"), nul(120))
-    rows = table(spark, sf, "part").select("p_partkey", data.alias("content"))
+    rows = dealt(spark, sf, "part").select("p_partkey", data.alias("content"))
     return read(rows, DOC).select("p_partkey", "text", textual.printable_runs(F.col("content")).alias("native_text"))
 
 

@@ -10,7 +10,7 @@ from ..operators.extract import extract
 from ..operators.schema import get
 from ..sources import packages as p
 from . import sinks
-from .detection_queries import found_sql, table
+from .detection_queries import dealt, found_sql, table
 
 #: Stream names that tell the types of compound files apart.
 STREAMS = (("WordDocument", DOC), ("Workbook", XLS), ("Book", XLS), ("PowerPoint Document", PPT), ("Current User", PPT))
@@ -29,7 +29,7 @@ def ole_detected(spark, sf):
     k = F.col("p_partkey") % (2 * len(STREAMS))
     names = F.element_at(F.array(*[F.lit(bytearray(n.encode(c))) for n, _ in STREAMS for c in ("ascii", "utf-16-le")]), (k + 1).cast("int"))
     data = F.concat(F.unhex(F.lit("d0cf11e0a1b11ae1")), _nul(600), names, _nul(50), F.encode("p_name", "UTF-8"))
-    found = extract(table(spark, sf, "part").select("p_partkey", data.alias("content")), "content", what="detect")
+    found = extract(dealt(spark, sf, "part").select("p_partkey", data.alias("content")), "content", what="detect")
     return found.select("p_partkey", "mime_type", F.round(F.col("detection_confidence").cast("double"), 4).alias("confidence"), "detected_by")
 
 
@@ -50,7 +50,7 @@ def masked_signature(spark, sf):
 
 def _books(spark, sf):
     columns = [F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")]
-    return table(spark, sf, "part").select("p_partkey", p.made(p.xls_of_part, *columns).alias("content"))
+    return dealt(spark, sf, "part").select("p_partkey", p.made(p.xls_of_part, *columns).alias("content"))
 
 
 def xls_text(spark, sf):
@@ -65,17 +65,17 @@ def xls_detected(spark, sf):
 def ppt_text(spark, sf):
     """Readable runs of a presentation; what isn't mostly letters is left out."""
     data = F.concat(F.unhex(F.lit("d0cf11e0a1b11ae1")), _nul(600), F.encode("p_name", "UTF-8"), _nul(3), F.lit("12345 67").cast("binary"), _nul(2), F.encode("p_type", "UTF-8"), _nul(120))
-    return _read(table(spark, sf, "part").select("p_partkey", data.alias("content")), PPT).select("p_partkey", "text", F.col("error.kind").alias("error_kind"))
+    return _read(dealt(spark, sf, "part").select("p_partkey", data.alias("content")), PPT).select("p_partkey", "text", F.col("error.kind").alias("error_kind"))
 
 
 def pdf_packed(spark, sf):
     """Streams packed by LZW, base-85 digits, or both."""
-    files = table(spark, sf, "part").select("p_partkey", p.made(p.pdf_packed, F.col("p_partkey"), F.col("p_name"), F.col("p_type")).alias("content"))
+    files = dealt(spark, sf, "part").select("p_partkey", p.made(p.pdf_packed, F.col("p_partkey"), F.col("p_name"), F.col("p_type")).alias("content"))
     return _read(files, "application/pdf").select("p_partkey", F.regexp_replace("text", r"\s+", " ").alias("text"), get(F.col("metadata"), "pdf_parse_strategy").alias("strategy"))
 
 
 def sink_yaml(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("\nx")).alias("content"))
+    rows = dealt(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("\nx")).alias("content"))
     return _read(rows, "text/plain").select("p_partkey", sinks.yaml(F.col("mime_type"), F.col("detection_confidence"), F.col("metadata"), F.col("text")).alias("shown"))
 
 
